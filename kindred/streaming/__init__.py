@@ -1,0 +1 @@
+"""Every input of this engine is a static table, so there is no streaming operator."""
