@@ -7,10 +7,10 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kindred.functions.words import is_number, normalize, split_words, strip_digits, strip_punctuation
+from kindred.functions.words import is_number, split_words, strip_digits, strip_punctuation
 from kindred.operators.ids import dense_index
 from kindred.operators.ranking import top_k
-from kindred.session import materialize
+from kindred.session import materialize, spread
 
 PROFILE_WORDS = 200
 RARE_SHARE = 1e-6
@@ -36,9 +36,7 @@ def tokenize(
     cleaned = strip_punctuation(F.col(text))
     if remove_digits:
         cleaned = strip_digits(cleaned)
-    words = rows.select(*keep, F.explode(split_words(cleaned)).alias("word")).select(
-        *keep, normalize(F.col("word")).alias("word")
-    )
+    words = spread(rows.select(*keep, text)).select(*keep, F.explode(split_words(cleaned)).alias("word"))
     words = words.where((F.length("word") >= min_length) & ~is_number(F.col("word")))
     if stopwords is not None:
         words = words.join(stopwords.select("word").distinct(), "word", "left_anti").select(*keep, "word")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from kindred.functions.hashing import MIX_RANGE, PRIME, coefficients
-from kindred.functions.words import PUNCTUATION, WHITESPACE
+from kindred.functions.words import PUNCTUATION
 from kindred.operators import content as C
 from kindred.operators import hybrid as H
 from kindred.operators import predict as P
@@ -144,7 +144,9 @@ def text_literal(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
-SPACES = " || ".join(f"chr({ord(c)})" for c in WHITESPACE)
+# Every character that Unicode calls whitespace.
+WHITESPACE = [*range(9, 14), *range(28, 33), 133, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288]
+SPACES = " || ".join(f"chr({c})" for c in WHITESPACE)
 STOP_LIST = ", ".join(text_literal(w) for w in STOPWORDS)
 
 
