@@ -102,7 +102,7 @@ def holdout_split(spark, sf):
 
 
 def dense_ids(spark, sf):
-    ratings = materialize(T.ratings(spark, sf), "ratings")
+    ratings = _ratings(spark, sf)
     users = dense_index(ratings, "user_id", "user_index")
     items = dense_index(ratings, "item_id", "item_index")
     return with_index(with_index(ratings, users, "user_id"), items, "item_id").select(
@@ -111,18 +111,27 @@ def dense_ids(spark, sf):
 
 
 # --- similarity and prediction -------------------------------------------------------------------
+# These plans read the ratings many times, so the join and the averaging behind them are done once.
+
+
+def _ratings(spark, sf) -> DataFrame:
+    return materialize(T.ratings(spark, sf), "ratings")
+
+
+def _split(spark, sf) -> tuple[DataFrame, DataFrame]:
+    return R.hash_split(_ratings(spark, sf))
 
 
 def co_rating_pairs(spark, sf):
-    return S.co_rating_counts(T.ratings(spark, sf), "user_id", "item_id")
+    return S.co_rating_counts(_ratings(spark, sf), "user_id", "item_id")
 
 
 def item_pearson(spark, sf):
-    return S.item_similarity(T.ratings(spark, sf))
+    return S.item_similarity(_ratings(spark, sf))
 
 
 def user_pearson(spark, sf):
-    return S.user_similarity(T.ratings(spark, sf), lsh=False)
+    return S.user_similarity(_ratings(spark, sf), lsh=False)
 
 
 def minhash_signatures(spark, sf):
@@ -131,41 +140,44 @@ def minhash_signatures(spark, sf):
 
 
 def lsh_candidates(spark, sf):
-    return M.lsh_candidates(M.minhash_signatures(T.ratings(spark, sf), "user_id", "item_id"), "user_id")
+    return M.lsh_candidates(M.minhash_signatures(_ratings(spark, sf), "user_id", "item_id"), "user_id")
 
 
 def lsh_verified_jaccard(spark, sf):
-    return S.item_jaccard(T.ratings(spark, sf))
+    return S.item_jaccard(_ratings(spark, sf))
 
 
 def lsh_user_pearson(spark, sf):
-    return S.user_similarity(T.ratings(spark, sf))
+    return S.user_similarity(_ratings(spark, sf))
 
 
 def lsh_recall(spark, sf):
-    ratings = T.ratings(spark, sf)
+    ratings = _ratings(spark, sf)
     return E.recall(S.item_jaccard(ratings), S.item_jaccard(ratings, lsh=False), "b1", "b2")
 
 
 def item_predict(spark, sf):
-    train, test = T.split_ratings(spark, sf)
+    train, test = _split(spark, sf)
     return P.predict_item_based(S.item_similarity(train), train, test)
 
 
 def user_predict(spark, sf):
-    train, test = T.split_ratings(spark, sf)
+    train, test = _split(spark, sf)
     return P.predict_user_based(S.user_similarity(train), train, test)
 
 
-def _rmse(predict: Query) -> Query:
-    def query(spark, sf):
-        return E.rmse(predict(spark, sf), T.split_ratings(spark, sf)[1])
+def item_predict_rmse(spark, sf):
+    train, test = _split(spark, sf)
+    return E.rmse(P.predict_item_based(S.item_similarity(train), train, test), test)
 
-    return query
+
+def user_predict_rmse(spark, sf):
+    train, test = _split(spark, sf)
+    return E.rmse(P.predict_user_based(S.user_similarity(train), train, test), test)
 
 
 def friends_avg(spark, sf):
-    train, test = T.split_ratings(spark, sf)
+    train, test = _split(spark, sf)
     return P.friends_average(test, T.friends(spark, sf), train)
 
 
@@ -224,7 +236,7 @@ def content_scores(spark, sf):
 
 
 def keyword_search(spark, sf):
-    return C.keyword_search(SEARCH_TEXT, _profiles(spark, sf))
+    return C.keyword_search(SEARCH_TEXT, materialize(_profiles(spark, sf), "item-profiles"))
 
 
 # --- vectors -------------------------------------------------------------------------------------
@@ -246,7 +258,7 @@ def item_details(spark, sf):
 
 def hybrid_union(spark, sf):
     """Content recommendations blended with item-based predictions for pairs without a review."""
-    ratings = T.review_ratings(spark, sf)
+    ratings = materialize(T.review_ratings(spark, sf), "review-ratings")
     unseen = R.without_known(T.review_pairs(spark, sf), ratings)
     predicted = P.predict_item_based(S.item_similarity(ratings), ratings, unseen)
     return _rank(H.hybrid(content_recommend(spark, sf), predicted.withColumnRenamed("stars", "score")))
@@ -280,7 +292,7 @@ def average_map_file(spark, sf):
 def similarity_model_file(spark, sf):
     """The item model written as JSON lines, read back, and used from the file."""
     path = scratch_path(spark, "item-model")
-    IO.write_json(S.item_similarity(T.ratings(spark, sf)), path)
+    IO.write_json(S.item_similarity(_ratings(spark, sf)), path)
     return IO.read_json(spark, path, IO.ITEM_MODEL)
 
 
@@ -306,8 +318,7 @@ def profiles_parquet(spark, sf):
 
 
 def _indexed(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame]:
-    ratings = materialize(T.ratings(spark, sf), "ratings")
-    indexed, users, items = A.index_ratings(ratings)
+    indexed, users, items = A.index_ratings(_ratings(spark, sf))
     return materialize(indexed, "indexed-ratings"), users, items
 
 
@@ -384,8 +395,8 @@ def queries() -> dict[str, Query]:
         "lsh_recall": lsh_recall,
         "item_predict": item_predict,
         "user_predict": user_predict,
-        "item_predict_rmse": _rmse(item_predict),
-        "user_predict_rmse": _rmse(user_predict),
+        "item_predict_rmse": item_predict_rmse,
+        "user_predict_rmse": user_predict_rmse,
         "friends_avg": friends_avg,
         "tokens": tokens,
         "term_freq": term_freq,

@@ -11,7 +11,7 @@ from kindred.operators import text as X
 
 TEXTS = [
     "Don't stop: élan vital, 5 of ½ x ÀÉ",
-    "naïve\tcafé\t \t tab\n\nnew line  nbsp  in side end\r\nlast\r",
+    "naïve\tcafé\t \t tab\n\nnew line \xa0 nbsp\xa0 in\xa0side\u3000 end\u2003\r\nlast\r",
     "a b c 12 345 6x x_y __ Ünïcödé 東京 tower 2024!",
     "",
     "   ",
@@ -32,7 +32,7 @@ def test_tokens_match_python(spark):
 
 
 @settings(max_examples=15, deadline=None, suppress_health_check=list(HealthCheck))
-@given(st.lists(st.text(st.sampled_from("aB1é½_-'.,! \t\n\r  \x1c\x85東"), max_size=40), min_size=1, max_size=20))
+@given(st.lists(st.text(st.sampled_from("aB1é½_-'.,! \t\n\r\xa0\u3000\x1c\x85東"), max_size=40), min_size=1, max_size=20))
 def test_tokens_match_python_for_any_text(spark, texts):
     got = Counter((r["item_id"], r["word"]) for r in X.tokenize(docs(spark, [(1, k, t) for k, t in enumerate(texts)])).collect())
     assert got == Counter((k, w) for k, t in enumerate(texts) for w in words_of(t))
