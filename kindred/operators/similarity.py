@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kindred.functions.scores import jaccard, pearson
-from kindred.operators.minhash import lsh_candidates, minhash_signatures, share_a_band
-from kindred.operators.pairs import meet, pairs_within
+from kindred.operators.minhash import keep_banded, minhash_signatures
+from kindred.operators.pairs import pairs_within
 
 MOMENTS = ("n", "sx", "sy", "sxx", "syy", "sxy")
 MIN_CO_RATED = 3
@@ -96,64 +96,51 @@ def item_similarity(ratings: DataFrame, min_support: int = MIN_CO_RATED) -> Data
     return model.select(F.col("a").alias("b1"), F.col("b").alias("b2"), "sim")
 
 
-def pair_moments(ratings: DataFrame, pairs: DataFrame, key: str, member: str) -> DataFrame:
-    """The moment sums of given pairs ``(a, b)`` only, through the shorter of their two lists."""
-    def of(side: str, value: str) -> DataFrame:
-        return ratings.select(F.col(member).alias(side), key, F.col("rating").alias(value))
-
-    shared = meet(pairs, of("a", "x"), of("b", "y"), "a", "b", key)
-    x, y = F.col("x"), F.col("y")
-    return shared.groupBy("a", "b").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.sum(x).alias("sx"),
-        F.sum(y).alias("sy"),
-        F.sum(x * x).alias("sxx"),
-        F.sum(y * y).alias("syy"),
-        F.sum(x * y).alias("sxy"),
-    )
-
-
-def _with_profiles(pairs: DataFrame, profiles: DataFrame, entity: str, columns: tuple[str, ...]) -> DataFrame:
+def _with_sizes(pairs: DataFrame, profiles: DataFrame, entity: str) -> DataFrame:
     for side in ("a", "b"):
-        one = profiles.select(F.col(entity).alias(side), *[F.col(c).alias(f"{c}_{side}") for c in columns])
+        one = profiles.select(F.col(entity).alias(side), F.col("n_members").alias(f"n_members_{side}"))
         pairs = pairs.join(one, side)
     return pairs
 
 
+def lsh_candidates(
+    ratings: DataFrame,
+    key: str,
+    member: str,
+    min_support: int = MIN_CO_RATED,
+    rows: int = 1,
+    **hash_options,
+) -> DataFrame:
+    """Pairs ``(a, b)`` that share an LSH band and at least ``min_support`` keys, each once.
+
+    Pairs with less support are dropped by every model, and those are the pairs a hot bucket is full
+    of. They are not made: the co-rating join finds the pairs, the signatures only confirm the band.
+    """
+    counts = co_rating_counts(ratings, key, member, min_support)
+    signatures = minhash_signatures(ratings.select(member, key), member, key, **hash_options)
+    return keep_banded(counts.select("a", "b"), signatures, member, rows)
+
+
 def user_similarity(
     ratings: DataFrame,
     min_support: int = MIN_CO_RATED,
     min_jaccard: float = MIN_JACCARD_USERS,
     rows: int = 1,
     lsh: bool = True,
-    start: str = "co_ratings",
     **hash_options,
 ) -> DataFrame:
     """User-user Pearson model ``(u1, u2, sim)``, u1 < u2.
 
     A pair must share an LSH band (unless ``lsh`` is off), have ``min_support`` co-rated items and
-    Jaccard >= ``min_jaccard``, and correlate positively. The result does not depend on ``start``:
-
-    * ``co_ratings`` counts co-ratings first and looks at the signatures of the few pairs left. With one
-      row per band a pair meets in 50 J bands, so this is the cheaper order for baskets below ~50.
-    * ``buckets`` joins the LSH buckets first and verifies the candidates; better with more rows per
-      band, or with large baskets.
+    Jaccard >= ``min_jaccard``, and correlate positively. Co-ratings are counted first and the
+    signatures are looked up for the few pairs left; the result is that of joining the buckets first.
     """
-    basket = ratings.select("user_id", "item_id")
-    profiles = minhash_signatures(basket, "user_id", "item_id", **hash_options)
-    if lsh and start == "buckets":
-        # A user with fewer items than the support cannot qualify.
-        eligible = profiles.where(F.col("n_members") >= min_support)
-        candidates = lsh_candidates(eligible, "user_id", rows, min_jaccard)
-        moments = pair_moments(ratings, candidates, "item_id", "user_id").where(F.col("n") >= min_support)
-    else:
-        moments = co_rated_moments(ratings, "item_id", "user_id", min_support)
-    scored = with_pearson(moments)
-    check_band = lsh and start != "buckets"
-    sized = _with_profiles(scored, profiles, "user_id", ("n_members", "signature") if check_band else ("n_members",))
+    profiles = minhash_signatures(ratings.select("user_id", "item_id"), "user_id", "item_id", **hash_options)
+    scored = with_pearson(co_rated_moments(ratings, "item_id", "user_id", min_support))
+    sized = _with_sizes(scored, profiles, "user_id")
     kept = sized.where(jaccard(F.col("n"), F.col("n_members_a"), F.col("n_members_b")) >= min_jaccard)
-    if check_band:
-        kept = kept.where(share_a_band(F.col("signature_a"), F.col("signature_b"), rows))
+    if lsh:
+        kept = keep_banded(kept, profiles, "user_id", rows)
     return kept.select(F.col("a").alias("u1"), F.col("b").alias("u2"), "sim")
 
 
@@ -191,28 +178,14 @@ def item_jaccard(
     threshold: float = MIN_JACCARD_ITEMS,
     rows: int = 1,
     lsh: bool = True,
-    start: str = "co_ratings",
     **hash_options,
 ) -> DataFrame:
-    """Item-item Jaccard model ``(b1, b2, sim)`` of the pairs that LSH finds with J > ``threshold``.
+    """Item-item Jaccard model ``(b1, b2, sim)`` of the pairs with J > ``threshold`` that share an LSH band.
 
-    ``start`` has the meaning it has in :func:`user_similarity`.
+    With ``lsh`` off, of all pairs with J > ``threshold``.
     """
     basket = ratings.select("item_id", "user_id").distinct()
-    profiles = minhash_signatures(basket, "item_id", "user_id", **hash_options)
-    if lsh and start == "buckets":
-        candidates = lsh_candidates(profiles, "item_id", rows, threshold)
-        of = lambda side: basket.select(F.col("item_id").alias(side), "user_id")
-        shared = meet(candidates, of("a"), of("b"), "a", "b", "user_id")
-        overlaps = shared.groupBy("a", "b").agg(F.count(F.lit(1)).alias("overlap"))
-        sized = _with_profiles(overlaps, profiles, "item_id", ("n_members",))
-        scored = sized.withColumn(
-            "jaccard", jaccard(F.col("overlap"), F.col("n_members_a"), F.col("n_members_b"))
-        ).where(F.col("jaccard") > threshold)
-    else:
-        scored = jaccard_pairs(basket, "item_id", "user_id", threshold)
-        if lsh:
-            scored = _with_profiles(scored, profiles, "item_id", ("signature",)).where(
-                share_a_band(F.col("signature_a"), F.col("signature_b"), rows)
-            )
+    scored = jaccard_pairs(basket, "item_id", "user_id", threshold)
+    if lsh:
+        scored = keep_banded(scored, minhash_signatures(basket, "item_id", "user_id", **hash_options), "item_id", rows)
     return scored.select(F.col("a").alias("b1"), F.col("b").alias("b2"), F.round("jaccard", 6).alias("sim"))

@@ -139,8 +139,13 @@ def minhash_signatures(spark, sf):
     return M.signature_rows(signatures, "user_id").withColumn("k", F.col("k").cast("bigint"))
 
 
+def lsh_buckets(spark, sf):
+    buckets = M.lsh_buckets(M.minhash_signatures(T.ratings(spark, sf), "user_id", "item_id"), "user_id")
+    return M.bucket_sizes(buckets).withColumn("band", F.col("band").cast("bigint"))
+
+
 def lsh_candidates(spark, sf):
-    return M.lsh_candidates(M.minhash_signatures(_ratings(spark, sf), "user_id", "item_id"), "user_id")
+    return S.lsh_candidates(_ratings(spark, sf), "item_id", "user_id")
 
 
 def lsh_verified_jaccard(spark, sf):
@@ -389,6 +394,7 @@ def queries() -> dict[str, Query]:
         "item_pearson": item_pearson,
         "user_pearson": user_pearson,
         "minhash_signatures": minhash_signatures,
+        "lsh_buckets": lsh_buckets,
         "lsh_candidates": lsh_candidates,
         "lsh_verified_jaccard": lsh_verified_jaccard,
         "lsh_user_pearson": lsh_user_pearson,

@@ -283,9 +283,14 @@ FROM ratings r JOIN u ON u.user_id = r.user_id JOIN i ON i.item_id = r.item_id""
             RATINGS, signatures("ratings", "user_id", "item_id", "sigs"),
             select="SELECT e AS user_id, k, minhash FROM sigs",
         ),
+        "lsh_buckets": query(
+            RATINGS, signatures("ratings", "user_id", "item_id", "sigs"),
+            select="SELECT k AS band, minhash AS bucket, count(*) AS n FROM sigs GROUP BY 1, 2 HAVING count(*) > 1",
+        ),
         "lsh_candidates": query(
             RATINGS, signatures("ratings", "user_id", "item_id", "sigs"), banded("sigs", "candidates"),
-            select="SELECT a, b FROM candidates",
+            moments("ratings", "item_id", "user_id", "m"),
+            select="SELECT c.a, c.b FROM candidates c JOIN m ON m.a = c.a AND m.b = c.b",
         ),
         "lsh_verified_jaccard": query(
             RATINGS, JACCARD, ITEM_LSH,
