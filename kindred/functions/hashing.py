@@ -7,14 +7,13 @@ import random
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Number of hash functions and the seed their coefficients are drawn with.
-NUM_HASHES = 50
-SEED = 10000
+from kindred.defaults import HASH_SEED, NUM_HASHES
+
 # The Mersenne prime 2^31 - 1: for x < p the product a * x stays below 2^62.
 PRIME = 2_147_483_647
 
 
-def coefficients(hashes: int = NUM_HASHES, seed: int = SEED, prime: int = PRIME) -> list[tuple[int, int]]:
+def coefficients(hashes: int = NUM_HASHES, seed: int = HASH_SEED, prime: int = PRIME) -> list[tuple[int, int]]:
     """Pairs (a, b) of the family h(x) = (a x + b) mod p, with a never 0."""
     draw = random.Random(seed)
     return [(draw.randint(1, prime - 1), draw.randint(0, prime - 1)) for _ in range(hashes)]

@@ -5,11 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kindred.defaults import COLLABORATIVE_MAX, CONTENT_MAX
 from kindred.operators.ranking import top_k
 
-CONTENT_MAX = 4
-COLLABORATIVE_MAX = 4
-
 
 def hybrid(
     content: DataFrame,

@@ -5,13 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kindred.defaults import ITEM_NEIGHBOURS, USER_NEIGHBOURS
 from kindred.functions.scores import weighted_mean
 from kindred.operators.pairs import meet, symmetrise
 from kindred.operators.ranking import top_k
 
-ITEM_NEIGHBOURS = 7
-USER_NEIGHBOURS = 100
-
 
 def predict_item_based(model: DataFrame, ratings: DataFrame, pairs: DataFrame, k: int = ITEM_NEIGHBOURS) -> DataFrame:
     """Predicted ``stars`` of each (user, item) pair from the k rated items most similar to the item.

@@ -8,13 +8,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kindred.defaults import LIKED_FROM, MAX_SEEDS, SEED_SHARE, TEST_SHARE
 from kindred.functions.hashing import MIX_RANGE, mix, numeric_id
 from kindred.operators.ranking import top_k
 
-LIKED_FROM = 3.0
-MAX_SEEDS = 5
-SEED_SHARE = 0.5
-
 
 def ratings_table(reviews: DataFrame, user: str, item: str, stars: str) -> DataFrame:
     """Mean rating of each (user, item): repeated reviews count once."""
@@ -93,7 +90,7 @@ def seed_sample(liked: DataFrame, share: float = SEED_SHARE, at_most: int = MAX_
     return top_k(sampled, ["user_id"], [F.col("mix"), F.col("item_id")], at_most).select("user_id", "item_id")
 
 
-def hash_split(ratings: DataFrame, test_share: float = 0.2) -> tuple[DataFrame, DataFrame]:
+def hash_split(ratings: DataFrame, test_share: float = TEST_SHARE) -> tuple[DataFrame, DataFrame]:
     """(train, test) by a hash of the pair: reproducible, and any SQL engine can repeat it."""
     bound = F.lit(int(test_share * MIX_RANGE))
     mixed = pair_mix(ratings)

@@ -9,14 +9,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kindred.defaults import MIN_CO_RATED, MIN_JACCARD_ITEMS, MIN_JACCARD_USERS
 from kindred.functions.scores import jaccard, pearson
 from kindred.operators.minhash import keep_banded, minhash_signatures
 from kindred.operators.pairs import pairs_within
 
 MOMENTS = ("n", "sx", "sy", "sxx", "syy", "sxy")
-MIN_CO_RATED = 3
-MIN_JACCARD_USERS = 0.01
-MIN_JACCARD_ITEMS = 0.05
 
 
 def busiest_keys(rows: DataFrame, key: str, count: int) -> DataFrame:

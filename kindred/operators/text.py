@@ -7,15 +7,12 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kindred.defaults import MIN_LENGTH, PROFILE_WORDS, RARE_SHARE
 from kindred.functions.words import is_number, split_words, strip_digits, strip_punctuation
 from kindred.operators.ids import dense_index
 from kindred.operators.ranking import top_k
 from kindred.session import materialize, spread
 
-PROFILE_WORDS = 200
-RARE_SHARE = 1e-6
-MIN_LENGTH = 2
-
 
 def stopword_table(spark: SparkSession, words: Iterable[str]) -> DataFrame:
     return spark.createDataFrame([(w,) for w in words], "word string")

@@ -9,6 +9,7 @@ from pyspark.ml.recommendation import ALSModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kindred import defaults as D
 from kindred.operators import content as C
 from kindred.operators import evaluate as E
 from kindred.operators import factorization as A
@@ -34,7 +35,6 @@ STOPWORDS = (
 ).split()
 SEARCH_TEXT = "Thatin, threen ononst: hetition & the ereden 42 achte!"
 RARE_SHARE = 1e-5
-PROFILE_WORDS = X.PROFILE_WORDS
 
 
 def _stopwords(spark: SparkSession) -> DataFrame:
@@ -249,7 +249,7 @@ def keyword_search(spark, sf):
 
 def vector_cosine_topn(spark, sf):
     vectors = T.item_vectors(spark, sf)
-    return _rank(similar_items(vectors.select("item_id"), vectors, C.SIMILAR_PER_SEED))
+    return _rank(similar_items(vectors.select("item_id"), vectors, D.SIMILAR_PER_SEED))
 
 
 def content_recommend(spark, sf):
@@ -284,7 +284,7 @@ def reviews_json(spark, sf):
         reviews.withColumn("user_id", F.col("user_id").cast("string")).withColumn("item_id", F.col("item_id").cast("string")),
         path,
     )
-    return IO.read_json(spark, path, IO.REVIEW)
+    return IO.read_json(spark, path, D.REVIEW)
 
 
 def average_map_file(spark, sf):
@@ -298,13 +298,13 @@ def similarity_model_file(spark, sf):
     """The item model written as JSON lines, read back, and used from the file."""
     path = scratch_path(spark, "item-model")
     IO.write_json(S.item_similarity(_ratings(spark, sf)), path)
-    return IO.read_json(spark, path, IO.ITEM_MODEL)
+    return IO.read_json(spark, path, D.ITEM_MODEL)
 
 
 def predictions_file(spark, sf):
     path = scratch_path(spark, "predictions")
     IO.write_json(_business(item_predict(spark, sf)), path)
-    return IO.read_json(spark, path, IO.PREDICTION)
+    return IO.read_json(spark, path, D.PREDICTION)
 
 
 def profile_file(spark, sf):

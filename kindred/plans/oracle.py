@@ -2,18 +2,14 @@
 
 from __future__ import annotations
 
+from kindred import defaults as D
 from kindred.functions.hashing import MIX_RANGE, PRIME, coefficients
 from kindred.functions.words import PUNCTUATION
-from kindred.operators import content as C
-from kindred.operators import hybrid as H
-from kindred.operators import predict as P
-from kindred.operators import ratings as R
-from kindred.operators import similarity as S
-from kindred.plans.catalog import PROFILE_WORDS, RARE_SHARE, SEARCH_TEXT, STOPWORDS
+from kindred.plans.catalog import RARE_SHARE, SEARCH_TEXT, STOPWORDS
 
 MIX = f"(((user_id % {MIX_RANGE}) * 7919 + (item_id % {MIX_RANGE}) * 104729) % {MIX_RANGE})"
-TEST_BOUND = int(0.2 * MIX_RANGE)
-SEED_BOUND = int(R.SEED_SHARE * MIX_RANGE)
+TEST_BOUND = int(D.TEST_SHARE * MIX_RANGE)
+SEED_BOUND = int(D.SEED_SHARE * MIX_RANGE)
 
 
 def query(*ctes: str, select: str) -> str:
@@ -36,7 +32,7 @@ REVIEW_PAIRS = """review_pairs AS (
   SELECT DISTINCT doc_id % 101 AS user_id, (doc_id * 104729) % 64 AS item_id FROM documents)"""
 
 
-def moments(source: str, key: str, member: str, name: str, min_support: int = S.MIN_CO_RATED) -> str:
+def moments(source: str, key: str, member: str, name: str, min_support: int = D.MIN_CO_RATED) -> str:
     return f"""{name} AS (
   SELECT x.{member} AS a, y.{member} AS b, count(*) AS n, sum(x.rating) AS sx, sum(y.rating) AS sy,
          sum(x.rating * x.rating) AS sxx, sum(y.rating * y.rating) AS syy, sum(x.rating * y.rating) AS sxy
@@ -85,7 +81,7 @@ def user_model(source: str, lsh: bool) -> str:
     parts.append(f"""user_model AS (
   SELECT s.a, s.b, s.sim FROM user_sims s
   JOIN user_sizes p ON p.e = s.a JOIN user_sizes q ON q.e = s.b {band}
-  WHERE s.n / (p.size + q.size - s.n) >= {S.MIN_JACCARD_USERS})""")
+  WHERE s.n / (p.size + q.size - s.n) >= {D.MIN_JACCARD_USERS})""")
     return ",\n".join(parts)
 
 
@@ -101,7 +97,7 @@ JACCARD = ",\n".join([
     f"""exact AS (
   SELECT a, b, overlap / (p.size + q.size - overlap) AS jaccard
   FROM common JOIN item_sizes p ON p.e = a JOIN item_sizes q ON q.e = b
-  WHERE overlap / (p.size + q.size - overlap) > {S.MIN_JACCARD_ITEMS})""",
+  WHERE overlap / (p.size + q.size - overlap) > {D.MIN_JACCARD_ITEMS})""",
 ])
 ITEM_LSH = signatures("ratings", "item_id", "user_id", "item_sigs") + ",\n" + banded("item_sigs", "item_candidates")
 
@@ -117,7 +113,7 @@ votes AS (
   JOIN {ratings} r ON r.user_id = p.user_id AND r.item_id = m.other),
 item_predictions AS (
   SELECT user_id, item_id, round(sum(sim * rating) / sum(sim), 6) AS stars
-  FROM votes WHERE rn <= {P.ITEM_NEIGHBOURS} GROUP BY user_id, item_id)"""
+  FROM votes WHERE rn <= {D.ITEM_NEIGHBOURS} GROUP BY user_id, item_id)"""
 
 
 USER_PREDICTIONS = f"""means AS (SELECT user_id, avg(rating) AS mean FROM train GROUP BY user_id),
@@ -125,7 +121,7 @@ neighbours AS (
   SELECT * FROM (
     SELECT user_id, other, sim, row_number() OVER (PARTITION BY user_id ORDER BY sim DESC, other) AS rn
     FROM (SELECT a AS user_id, b AS other, sim FROM user_model UNION ALL SELECT b, a, sim FROM user_model))
-  WHERE rn <= {P.USER_NEIGHBOURS}),
+  WHERE rn <= {D.USER_NEIGHBOURS}),
 user_predictions AS (
   SELECT t.user_id, t.item_id,
          round(any_value(mu.mean) + sum(n.sim * (r.rating - mo.mean)) / sum(n.sim), 6) AS stars
@@ -181,25 +177,25 @@ profile AS (
     SELECT item_id, word, tfidf, row_number() OVER (PARTITION BY item_id ORDER BY tfidf DESC, word) AS rank
     FROM (SELECT c.item_id, c.word, round(c.n / t.total * i.idf, 9) AS tfidf
           FROM {counts} c JOIN totals t ON t.item_id = c.item_id JOIN idf i ON i.word = c.word))
-  WHERE rank <= {PROFILE_WORDS})"""
+  WHERE rank <= {D.PROFILE_WORDS})"""
 
 
 PROFILES = COUNTS + ",\n" + profiles("counts")
 USER_WORDS = """user_words AS (
   SELECT DISTINCT r.user_id, p.word FROM reviews r JOIN profile p ON p.item_id = r.item_id)"""
 
-CONTENT = f"""liked AS (SELECT DISTINCT user_id, item_id FROM reviews WHERE stars >= {R.LIKED_FROM}),
+CONTENT = f"""liked AS (SELECT DISTINCT user_id, item_id FROM reviews WHERE stars >= {D.LIKED_FROM}),
 seeds AS (
   SELECT user_id, item_id FROM (
     SELECT user_id, item_id, row_number() OVER (PARTITION BY user_id ORDER BY {MIX}, item_id) AS rn
-    FROM liked WHERE {MIX} < {SEED_BOUND}) WHERE rn <= {R.MAX_SEEDS}),
+    FROM liked WHERE {MIX} < {SEED_BOUND}) WHERE rn <= {D.MAX_SEEDS}),
 vectors AS (SELECT vec_id AS item_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
 near AS (
   SELECT * FROM (
     SELECT seed_id, item_id, score, row_number() OVER (PARTITION BY seed_id ORDER BY score DESC, item_id) AS rank
     FROM (SELECT x.item_id AS seed_id, y.item_id, round(list_cosine_similarity(x.v, y.v), 6) AS score
           FROM vectors x JOIN vectors y ON x.item_id <> y.item_id))
-  WHERE rank <= {C.SIMILAR_PER_SEED}),
+  WHERE rank <= {D.SIMILAR_PER_SEED}),
 content AS (
   SELECT user_id, item_id, score, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) AS rank
   FROM (SELECT s.user_id, n.item_id, max(n.score) AS score
@@ -232,7 +228,7 @@ def oracle_sql() -> dict[str, str]:
     )
     user_ctes = (SPLIT, user_model("train", lsh=True), USER_PREDICTIONS)
     item_pearson = query(RATINGS, item_model("ratings"), select="SELECT a AS b1, b AS b2, sim FROM item_model")
-    liked = query(PURCHASES, select=f"SELECT DISTINCT user_id, item_id FROM purchases WHERE stars >= {R.LIKED_FROM}")
+    liked = query(PURCHASES, select=f"SELECT DISTINCT user_id, item_id FROM purchases WHERE stars >= {D.LIKED_FROM}")
     reviewed = (REVIEWS, CONTENT)
     return {
         "ratings_utility": query(RATINGS, select="SELECT user_id, item_id, round(rating, 6) AS rating FROM ratings"),
@@ -255,10 +251,10 @@ FROM ratings JOIN customer ON c_custkey = user_id GROUP BY user_id, c_name""",
         "liked_items_sql": liked,
         "seed_sample": query(
             PURCHASES,
-            f"liked AS (SELECT DISTINCT user_id, item_id FROM purchases WHERE stars >= {R.LIKED_FROM})",
+            f"liked AS (SELECT DISTINCT user_id, item_id FROM purchases WHERE stars >= {D.LIKED_FROM})",
             select=f"""SELECT user_id, item_id FROM (
   SELECT user_id, item_id, row_number() OVER (PARTITION BY user_id ORDER BY {MIX}, item_id) AS rn
-  FROM liked WHERE {MIX} < {SEED_BOUND}) WHERE rn <= {R.MAX_SEEDS}""",
+  FROM liked WHERE {MIX} < {SEED_BOUND}) WHERE rn <= {D.MAX_SEEDS}""",
         ),
         "holdout_split": query(
             SPLIT,
@@ -349,7 +345,7 @@ FROM (SELECT DISTINCT word FROM profile)""",
   FROM review_pairs q JOIN profile p ON p.item_id = q.item_id
   JOIN user_words w ON w.user_id = q.user_id AND w.word = p.word
   JOIN ni ON ni.item_id = q.item_id JOIN nu ON nu.user_id = q.user_id GROUP BY q.user_id, q.item_id)""",
-            select=f"SELECT user_id, item_id, round(sim, 6) AS sim FROM scored WHERE sim >= {C.MIN_COSINE}",
+            select=f"SELECT user_id, item_id, round(sim, 6) AS sim FROM scored WHERE sim >= {D.MIN_COSINE}",
         ),
         "keyword_search": query(
             PROFILES,
@@ -377,11 +373,11 @@ GROUP BY p.item_id ORDER BY score DESC, p.item_id LIMIT 10""",
     SELECT 1 FROM ratings r WHERE r.user_id = p.user_id AND r.item_id = p.item_id))""",
             item_model("ratings"), item_predictions("ratings", "unseen"),
             select=f"""SELECT user_id, item_id, score, rank, 'content' AS source FROM content
-WHERE rank <= {H.CONTENT_MAX}
+WHERE rank <= {D.CONTENT_MAX}
 UNION ALL
 SELECT user_id, item_id, stars, rank, 'collaborative' FROM (
   SELECT user_id, item_id, stars, row_number() OVER (PARTITION BY user_id ORDER BY stars DESC, item_id) AS rank
-  FROM item_predictions) WHERE rank <= {H.COLLABORATIVE_MAX}""",
+  FROM item_predictions) WHERE rank <= {D.COLLABORATIVE_MAX}""",
         ),
         "reviews_json": query(
             REVIEWS,

@@ -8,19 +8,6 @@ from pyspark.sql import functions as F
 from kindred.functions.hashing import numeric_id
 from kindred.operators.ratings import baskets
 
-# The fields of the JSON-lines files.
-REVIEW = "user_id string, business_id string, stars double, text string"
-PAIR = "user_id string, business_id string"
-BUSINESS = (
-    "business_id string, business_name string, categories string, stars double, "
-    "review_count int, latitude double, longitude double"
-)
-USER = "user_id string, name string, friends array<string>"
-ITEM_MODEL = "b1 string, b2 string, sim double"
-USER_MODEL = "u1 string, u2 string, sim double"
-PREDICTION = "user_id string, business_id string, stars double"
-CONTENT_SCORE = "user_id string, business_id string, sim double"
-
 
 def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """JSON lines with a stated schema, so that no pass over the data is spent on inference."""

@@ -1,6 +1,7 @@
 import json
 import os
 
+from kindred import defaults as D
 from kindred.sources import tables as IO
 
 
@@ -16,14 +17,14 @@ def test_json_lines_have_the_stated_fields(spark, tmp_path):
     df = spark.createDataFrame([("u", "b", 3.5)], "user_id string, item_id string, stars double")
     IO.write_json(df, path)
     assert list(lines(path)) == [{"user_id": "u", "business_id": "b", "stars": 3.5}]
-    assert IO.read_json(spark, path, IO.PREDICTION).collect() == df.collect()
+    assert IO.read_json(spark, path, D.PREDICTION).collect() == df.collect()
 
 
 def test_entity_files(spark, tmp_path):
     (tmp_path / "user.json").write_text('{"user_id": "u", "name": "N", "friends": ["v", "w"], "extra": 1}\n')
     (tmp_path / "business.json").write_text('{"business_id": "b", "business_name": "B", "stars": 4, "review_count": 2}\n')
-    user = IO.read_json(spark, str(tmp_path / "user.json"), IO.USER).first()
-    item = IO.read_json(spark, str(tmp_path / "business.json"), IO.BUSINESS).first()
+    user = IO.read_json(spark, str(tmp_path / "user.json"), D.USER).first()
+    item = IO.read_json(spark, str(tmp_path / "business.json"), D.BUSINESS).first()
     assert user["friends"] == ["v", "w"] and item["item_id"] == "b" and item["latitude"] is None
 
 
