@@ -1,8 +1,10 @@
+from collections import Counter
 from itertools import combinations
 
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 import brute
 from kindred.operators import similarity as S
@@ -122,3 +124,18 @@ def test_string_ids(spark):
     rows = [(f"u{u}", f"i{i}", r) for u, i, r in brute.random_ratings(9, users=20, items=12, per_user=6)]
     ratings = spark.createDataFrame(rows, "user_id string, item_id string, rating double")
     assert pairs(S.user_similarity(ratings), "u1", "u2").keys() <= pairs(S.user_similarity(ratings, lsh=False), "u1", "u2").keys()
+
+
+def test_one_user_with_a_third_of_all_rows(spark):
+    """The items of the hot user would make 450 million pairs; only co-rated ones are made."""
+    n = 30_000
+    hot = spark.range(n).select(F.lit(-1).cast("bigint").alias("user_id"), F.col("id").alias("item_id"))
+    others = spark.range(2 * n).select((F.col("id") % 5000).alias("user_id"), F.pmod(F.xxhash64("id"), F.lit(n)).alias("item_id"))
+    rows = hot.union(others).distinct()
+    ratings = rows.withColumn("rating", (1 + F.pmod(F.xxhash64("item_id", "user_id"), F.lit(5))).cast("double"))
+    got = {(r["a"], r["b"]): r["n"] for r in S.co_rating_counts(ratings, "user_id", "item_id", 3).collect()}
+    baskets = {}
+    for r in others.distinct().collect():
+        baskets.setdefault(r["user_id"], []).append(r["item_id"])
+    counts = Counter(pair for items in baskets.values() for pair in combinations(sorted(items), 2))
+    assert got == {pair: k + 1 for pair, k in counts.items() if k + 1 >= 3}
