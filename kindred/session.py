@@ -61,7 +61,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     the written files outlive any executor.
     """
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
