@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kindred.llm import exact_dedup
+from kindred.llm import exact_dedup, quality_rules
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op7_exact_dedup": exact_dedup.op7_exact_dedup,
+        "op9_quality_rules": quality_rules.op9_quality_rules,
     }
 
 
