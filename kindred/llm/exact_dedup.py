@@ -58,7 +58,7 @@ def equality_classes(rows: DataFrame, first_digit: int = FIRST_DIGIT, widening:
             "radix-groups",
         )
         same = (F.col("group_id") == F.col("g")) & (F.col("digit") == F.col("d")) & (F.col("ended") == F.col("e"))
-        split = digits.join(groups, same, "left").select(
+        split = digits.join(groups.hint("merge"), same, "left").select(
             *[F.col(c) for c in kept],
             *([] if "row_id" in kept else [F.monotonically_increasing_id().alias("row_id")]),
             F.when(F.col("ended"), F.col("next_id")).alias("ended_id"),
