@@ -6,17 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kindred.llm import exact_dedup, quality_rules
+from kindred.llm import exact_dedup, packing, quality_rules, super_minhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op6_best_fit_packing": packing.op6_best_fit_packing,
         "op7_exact_dedup": exact_dedup.op7_exact_dedup,
         "op9_quality_rules": quality_rules.op9_quality_rules,
+        "op10_super_minhash": super_minhash.op10_super_minhash,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op6_best_fit_packing": packing.op6_best_fit_packing,
         "op7_exact_dedup": exact_dedup.ORACLE,
     }
