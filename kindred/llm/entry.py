@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kindred.llm import exact_dedup, packing, quality_rules, super_minhash
+from kindred.llm import exact_dedup, mixing, packing, quality_rules, super_minhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op6_best_fit_packing": packing.op6_best_fit_packing,
         "op7_exact_dedup": exact_dedup.op7_exact_dedup,
+        "op8_source_mixing": mixing.op8_source_mixing,
         "op9_quality_rules": quality_rules.op9_quality_rules,
         "op10_super_minhash": super_minhash.op10_super_minhash,
     }
