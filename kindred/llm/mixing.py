@@ -6,9 +6,9 @@ little as the quotas allow and spreads repeats. The graph has one node per patte
 A pattern then takes each of its documents so many whole times, and once more a seeded part of them.
 
 That part is drawn per size class (sizes double from class to class) in the order of a seeded hash: hash buckets are
-summed with partial aggregates, buckets before the cut are taken as they are, and only the documents of the one
-bucket at the cut, a 4096th of its class, are put in order. The document at each class's cut is taken or left, the
-largest first, by what the pattern still lacks, which leaves a gap of a small document at most.
+summed with partial aggregates, buckets before the cut are taken as they are, and only the documents of the bucket
+at the cut, a 4096th of a large class, are put in order. The few documents next in order at each class's cut are taken
+or left, the largest first, by what the pattern still lacks.
 """
 
 from __future__ import annotations
@@ -26,6 +26,9 @@ SHARE = 1.5
 MAX_REPEATS = 2
 SEED = 17
 BUCKETS = 4096
+#: Rows of a size class that a zone of buckets should hold at least, and how many beyond the cut may fill the gap.
+ZONE_ROWS = 64
+CANDIDATES = 16
 #: Patterns the driver's graph may have; beyond, group sources first. Checked, not cut.
 MAX_PATTERNS = 100_000
 #: Cells (pattern and size class) up to which their cuts are broadcast; beyond, they are joined by a shuffle.
@@ -103,6 +106,11 @@ def min_cost_flow(patterns: list[tuple[tuple[int, ...], int]], quotas: list[int]
     return given
 
 
+def zone_width(rows: int) -> int:
+    """Buckets of a zone: one for large classes, more for small ones, so that a zone has some rows to choose from."""
+    return BUCKETS >> max(0, min(BUCKETS, rows // ZONE_ROWS).bit_length() - 1)
+
+
 def mix(
     rows: DataFrame, quotas: Callable[[dict[str | None, int]], dict[str | None, float]] = capped_targets, most: int = MAX_REPEATS, seed: int = SEED
 ) -> tuple[DataFrame, dict[str | None, int], dict[str | None, float]]:
@@ -122,9 +130,10 @@ def mix(
     ).withColumn("order", F.xxhash64(F.lit(seed), "doc_id", "size", "pattern"))
     keyed = keyed.withColumn("bucket", F.pmod("order", F.lit(BUCKETS)).cast("int"))
     buckets = materialize(
-        keyed.where("size > 0").groupBy("pattern", "class", "bucket").agg(F.sum("size").alias("size"), F.first("members").alias("members")), "mix-buckets"
+        keyed.where("size > 0").groupBy("pattern", "class", "bucket").agg(F.sum("size").alias("size"), F.count("*").alias("n"), F.first("members").alias("members")),
+        "mix-buckets",
     )
-    cells = buckets.groupBy("pattern", "class").agg(F.sum("size").alias("size"), F.first("members").alias("members")).collect()
+    cells = buckets.groupBy("pattern", "class").agg(F.sum("size").alias("size"), F.sum("n").alias("n"), F.first("members").alias("members")).collect()
     members: dict[str, tuple] = {}
     size_of: dict[str, int] = {}
     for c in cells:
@@ -145,57 +154,77 @@ def mix(
     whole = {p: min(g // size_of[p], most) for p, g in zip(names, given, strict=True)}
     part = {p: g - whole[p] * size_of[p] for p, g in zip(names, given, strict=True)}
 
-    # Each class's cut: the bucket in which the seeded order reaches the class's share of the part.
+    # Each class's cut: the zone of buckets in which the seeded order reaches the class's share of the part.
+    share = {(c["pattern"], c["class"]): part[c["pattern"]] * c["size"] // size_of[c["pattern"]] for c in cells}
     wanted = spark.createDataFrame(
-        [(c["pattern"], c["class"], part[c["pattern"]] * c["size"] // size_of[c["pattern"]]) for c in cells], "pattern string, class int, quota long"
+        [(c["pattern"], c["class"], share[c["pattern"], c["class"]], zone_width(c["n"])) for c in cells],
+        "pattern string, class int, quota long, width int",
+    )
+    small = F.broadcast if len(cells) <= BROADCAST_CELLS else (lambda df: df)
+    zones = (
+        buckets.join(small(wanted), ["pattern", "class"])
+        .withColumn("first", F.col("bucket") - F.pmod(F.col("bucket"), F.col("width")))
+        .groupBy("pattern", "class", "quota", "width", "first")
+        .agg(F.sum("size").alias("size"))
     )
-    bounded = len(cells) <= BROADCAST_CELLS
-    small = F.broadcast if bounded else (lambda df: df)
-    upto = Window.partitionBy("pattern", "class").orderBy("bucket")
-    cuts = (
-        buckets.withColumn("reached", F.sum("size").over(upto))
-        .join(small(wanted), ["pattern", "class"])
+    upto = Window.partitionBy("pattern", "class").orderBy("first")
+    cuts = materialize(
+        zones.withColumn("reached", F.sum("size").over(upto))
         .where("quota < reached and quota >= reached - size")
-        .select("pattern", "class", F.col("bucket").alias("cut"), (F.col("quota") - F.col("reached") + F.col("size")).alias("within"))
+        .select("pattern", "class", "first", (F.col("first") + F.col("width")).alias("beyond"), (F.col("quota") - F.col("reached") + F.col("size")).alias("within")),
+        "mix-cuts",
     )
-    cuts = materialize(cuts, "mix-cuts")
     inside = Window.partitionBy("pattern", "class").orderBy("order", "doc_id", "size")
 
     def at_cut(columns: list[str]) -> DataFrame:
-        """The rows in the cuts' buckets, numbered, with the words before each."""
+        """The rows in the cuts' zones, numbered, with the words up to each."""
         return (
             keyed.select(*columns, "pattern", "class", "bucket", "order", *[c for c in ("doc_id", "size") if c not in columns])
             .join(small(cuts), ["pattern", "class"])
-            .where("bucket = cut")
-            .withColumns({"number": F.row_number().over(inside), "before": F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")})
+            .where("bucket >= first and bucket < beyond")
+            .withColumns({"number": F.row_number().over(inside), "upto": F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0))})
         )
 
-    edge = at_cut([]).where("before <= within and within < before + size").select("pattern", "class", "number", "before", "within", "size").collect()
+    # The rows up to the cut are taken; of the next few in each class, those that still fit, the largest first.
+    edge = (
+        at_cut([]).where("upto > within")
+        .withColumn("next", F.row_number().over(Window.partitionBy("pattern", "class").orderBy("number")))
+        .where(F.col("next") <= CANDIDATES)
+        .select("pattern", "class", "number", "next", "size", "upto", "within")
+        .collect()
+    )
     lacking = dict(part)
-    for c in cells:
-        lacking[c["pattern"]] -= part[c["pattern"]] * c["size"] // size_of[c["pattern"]]
+    for (p, _), n in share.items():
+        lacking[p] -= n
+    under: dict[tuple[str, int], int] = {}
     for e in edge:
-        lacking[e["pattern"]] += e["within"] - e["before"]
-    taken, left = set(), {}
-    for e in sorted(edge, key=lambda e: -e["class"]):
-        if e["size"] <= lacking[e["pattern"]]:
-            lacking[e["pattern"]] -= e["size"]
-            taken.add((e["pattern"], e["class"]))
+        if e["next"] == 1:
+            under[e["pattern"], e["class"]] = e["number"] - 1
+            lacking[e["pattern"]] += e["within"] - (e["upto"] - e["size"])
+    extra: dict[tuple[str, int], list[int]] = {cell: [] for cell in under}
+    left: dict[str, tuple[int, tuple[str, int], int]] = {}
+    for e in sorted(edge, key=lambda e: (-e["size"], e["class"], e["number"])):
+        p, cell = e["pattern"], (e["pattern"], e["class"])
+        if e["size"] <= lacking[p]:
+            lacking[p] -= e["size"]
+            extra[cell].append(e["number"])
         else:
-            left[e["pattern"]] = e  # ends as the smallest document left
-    for p, e in left.items():
-        if e["size"] < 2 * lacking[p]:  # nearer with it than without
-            taken.add((p, e["class"]))
-    last = [(e["pattern"], e["class"], e["number"] - ((e["pattern"], e["class"]) not in taken), whole[e["pattern"]]) for e in edge]
-    decided = spark.createDataFrame(last, "pattern string, class int, last int, whole int")
+            left[p] = (e["size"], cell, e["number"])  # ends as the smallest one left
+    for p, (size, cell, at) in left.items():
+        if size < 2 * lacking[p]:  # nearer with it than without
+            extra[cell].append(at)
+    decided = spark.createDataFrame(
+        [(*cell, under[cell], extra[cell], whole[cell[0]]) for cell in under], "pattern string, class int, under int, extra array<int>, whole int"
+    )
     carried = rows.columns
     base = spark.createDataFrame(
         [(c["pattern"], c["class"], whole[c["pattern"]]) for c in cells] + [(None, None, 0)], "pattern string, class int, whole int"
-    ).join(cuts.select("pattern", "class", "cut"), ["pattern", "class"], "left")
-    plain = keyed.join(small(base), ["pattern", "class"], "left").where("bucket != cut or cut is null")
-    plain = plain.withColumn("epochs", F.coalesce("whole", F.lit(0)) + F.coalesce((F.col("bucket") < F.col("cut")).cast("int"), F.lit(0)))
+    ).join(small(cuts.select("pattern", "class", "first", "beyond")), ["pattern", "class"], "left")
+    plain = keyed.join(small(base), ["pattern", "class"], "left").where("first is null or bucket < first or bucket >= beyond")
+    plain = plain.withColumn("epochs", F.coalesce("whole", F.lit(0)) + F.coalesce((F.col("bucket") < F.col("first")).cast("int"), F.lit(0)))
     cut = at_cut(carried).join(small(decided), ["pattern", "class"], "left")
-    cut = cut.withColumn("epochs", F.coalesce("whole", F.lit(0)) + (F.col("number") <= F.coalesce("last", F.lit(0))).cast("int"))
+    cut = cut.withColumn("epochs", F.coalesce("whole", F.lit(0)) + F.coalesce(F.col("number") <= F.col("under"), F.lit(True)).cast("int"))
+    cut = cut.withColumn("epochs", F.col("epochs") + F.coalesce(F.array_contains("extra", F.col("number")), F.lit(False)).cast("int"))
     return plain.select(*carried, "epochs").unionByName(cut.select(*carried, "epochs")), sizes, targets
 
 
