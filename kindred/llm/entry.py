@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kindred.llm import exact_dedup, language_id, mixing, packing, quality_rules, super_minhash
+from kindred.llm import exact_dedup, language_id, mixing, packing, quality_rules, recurrent_lm, super_minhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_recurrent_lm": recurrent_lm.op2_recurrent_lm,
         "op5_language_id": language_id.op5_language_id,
         "op6_best_fit_packing": packing.op6_best_fit_packing,
         "op7_exact_dedup": exact_dedup.op7_exact_dedup,
@@ -22,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_recurrent_lm": recurrent_lm.op2_recurrent_lm,
         "op5_language_id": language_id.op5_language_id,
         "op6_best_fit_packing": packing.op6_best_fit_packing,
         "op7_exact_dedup": exact_dedup.ORACLE,
