@@ -6,10 +6,14 @@ the positions, which lowers the variance of the similarity estimate. Step j only
 position has an offer no later step can change any: large sets stop after a few steps.
 
 Sets that are equal collapse to one representative before anything else. Bands of the representatives' signatures
-find candidates. A bucket is not opened into pairs: its member with the most company is compared with all others,
-links are confirmed on the full sets, and linked members fall into one component. Only pairs that share a bucket and
-are still in different components are then compared, until none is left. So a group of many near copies costs about
-one comparison a member, and no link between different components of a bucket is lost.
+find candidates. A bucket is not opened into pairs: its member with the most company, the centre, is compared with all
+others, links are confirmed on the full sets, and linked members fall into one component. So a group of many near
+copies costs about one comparison a member. What is left are pairs of a bucket in different components. Those of small
+buckets are compared. In larger ones, what is known of each member, how many elements it shares with the centre c,
+bounds what two members share: |a & b| <= min(|a & c|, |b & c|) + the elements outside c that both have. Pairs that
+can reach the similarity without such elements are found by their sizes; all others have such elements in common, and
+among the rarest of their group (a prefix filter finds them). Both are exact: no link within a bucket is lost, and a
+bucket's pairs are never listed.
 """
 
 from __future__ import annotations
@@ -20,7 +24,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kindred.llm.components import components
@@ -33,8 +37,8 @@ ROWS = 6
 SIMILARITY = 80
 #: Words of a shingle where no contract says otherwise.
 SHINGLE_WORDS = 5
-#: Rounds in which a bucket's best connected open member is compared with the rest before pairs are enumerated.
-CENTRE_ROUNDS = 2
+#: Members of a bucket up to which all its pairs in different components are compared.
+SMALL_BUCKET = 16
 #: Elements of a set handled at a time.
 BLOCK = 8192
 
@@ -147,14 +151,67 @@ def could_link(n_a: str, n_b: str, similarity: int) -> Column:
     return 100 * F.least(n_a, n_b) >= similarity * F.greatest(n_a, n_b)
 
 
-def verified(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
-    """Of the pairs (a, n_a, b, n_b), (a, b) whose full sets are similar enough."""
+def enough(shared: Column, n_a: str, n_b: str, similarity: int) -> Column:
+    """Whether 100 * intersection >= similarity * union if ``shared`` elements are common to sets of these sizes."""
+    return (100 + similarity) * shared >= similarity * (F.col(n_a) + F.col(n_b))
+
+
+def compared(pairs: DataFrame, sets: DataFrame, *extra: Column) -> DataFrame:
+    """Pairs (a, b, ...) with ``common``, the size of their full sets' intersection, and columns of ``of_a`` and ``of_b``."""
     left = sets.select(F.col("node").alias("a"), F.col("elements").alias("of_a"))
     right = sets.select(F.col("node").alias("b"), F.col("elements").alias("of_b"))
-    both = pairs.join(right.hint("merge"), "b").join(left.hint("merge"), "a").select(
-        "a", "b", "n_a", "n_b", F.size(F.array_intersect("of_a", "of_b")).cast("long").alias("common")
+    both = pairs.join(right.hint("merge"), "b").join(left.hint("merge"), "a")
+    return both.select(*pairs.columns, F.size(F.array_intersect("of_a", "of_b")).cast("long").alias("common"), *extra)
+
+
+def around_centres(group: DataFrame, similarity: int) -> DataFrame:
+    """Pairs of a group around a centre that may be similar enough: a, n_a, b, n_b.
+
+    ``group`` has centre, node, n, root, common (elements shared with the centre), linked (to the centre) and outside
+    (the node's other elements). Pairs of one root are left out.
+    """
+    # Without shared elements outside the centre, the elements inside must do. One of the two is not linked to the
+    # centre and falls short for the centre's size, so only smaller partners come into question.
+    least = F.ceil(F.col("n") * similarity / 100)
+    most = F.floor(F.col("common") * (100 + similarity) / similarity) - F.col("n")
+    loose = group.where(~F.col("linked") & (least <= most)).select(
+        F.col("centre").alias("c"), F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("root").alias("root_a"), F.explode(F.sequence(least, most)).alias("n_b")
     )
-    return both.where(100 * F.col("common") >= similarity * (F.col("n_a") + F.col("n_b") - F.col("common"))).select("a", "b")
+    partner = group.select("centre", F.col("node").alias("b"), F.col("n").alias("own_n"), F.col("root").alias("root_b"), F.col("common").alias("k_b"))
+    inside = loose.join(
+        partner.hint("merge"),
+        (F.col("c") == F.col("centre")) & (F.col("n_b") == F.col("own_n")) & (F.col("root_a") != F.col("root_b")) & enough(F.col("k_b"), "n_a", "n_b", similarity),
+    ).select("a", "n_a", "b", "n_b")
+    # All others share elements outside the centre. If two sets of s and l elements, s <= l, are similar enough, they
+    # share at least 2 similarity / (100 + similarity) * s and at least similarity / 100 * l; what the inside cannot
+    # give of that, the outside must, so one of the rarest remaining elements of each is common.
+    short = F.ceil(F.col("n") * 2 * similarity / (100 + similarity)) - F.col("common")
+    listed = group.select(
+        "centre", "node", "n", "root", "common", F.size("outside").alias("n_out"),
+        (F.size("outside") - F.greatest(short, F.lit(1)) + 1).alias("as_small"),
+        (F.size("outside") - F.greatest(least - F.col("common"), F.lit(1)) + 1).alias("as_large"),
+        F.explode("outside").alias("element"),
+    )
+    often = listed.groupBy("centre", "element").agg(F.count("*").alias("often")).where("often > 1")
+    met = listed.join(often.hint("merge"), ["centre", "element"])
+    of_node = Window.partitionBy("centre", "node")
+    ranked = materialize(
+        met.withColumns({"met": F.count("*").over(of_node), "place": F.row_number().over(of_node.orderBy("often", "element"))})
+        .withColumn("place", F.col("place") + F.col("n_out") - F.col("met"))
+        .where("place <= greatest(as_small, as_large)"),
+        "prefixes",
+    )
+
+    def role(suffix: str) -> DataFrame:
+        names = ("node", "n", "root", "common", "n_out")
+        return ranked.where(f"place <= as_{suffix}").select("centre", "element", *[F.col(c).alias(f"{c}_{suffix}") for c in names])
+
+    inner = F.least("common_small", "common_large") + F.least("n_out_small", "n_out_large")
+    outside = role("small").join(role("large").hint("merge"), ["centre", "element"]).where(
+        ((F.col("n_small") < F.col("n_large")) | ((F.col("n_small") == F.col("n_large")) & (F.col("node_small") < F.col("node_large"))))
+        & (F.col("root_small") != F.col("root_large")) & could_link("n_small", "n_large", similarity) & enough(inner, "n_small", "n_large", similarity)
+    ).select(F.col("node_small").alias("a"), F.col("n_small").alias("n_a"), F.col("node_large").alias("b"), F.col("n_large").alias("n_b"))
+    return inside.unionByName(outside)
 
 
 def near_duplicates(
@@ -179,41 +236,42 @@ def near_duplicates(
     shared = exploded.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
     buckets = materialize(exploded.join(shared.hint("merge"), "key"), "buckets")
     company = buckets.groupBy("node").agg(F.sum("members").alias("company"))
-    buckets = materialize(buckets.drop("members").join(company, "node"), "buckets")
-    needed = buckets.select("node").distinct().join(distinct.select(F.col("row_id").alias("node"), F.col("doc_id").alias("id"), F.col("text_hash").alias("hash")), "node")
+    best = F.max(F.struct("company", (-F.col("node")).alias("other"), "n")).alias("best")
+    centres = buckets.join(company.hint("merge"), "node").groupBy("key").agg(best)
+    buckets = materialize(
+        buckets.join(centres.select("key", (-F.col("best.other")).alias("centre"), F.col("best.n").alias("n_centre")).hint("merge"), "key"), "centred"
+    )
+    of_row = distinct.select(F.col("row_id").alias("node"), F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"))
+    needed = of_row.join(buckets.select("node").distinct(), "node", "left_semi")
     found = plain.join(needed.hint("merge"), (F.col("text_hash") == F.col("hash")) & F.col("doc_id").eqNullSafe(F.col("id")))
     sets = materialize(full_sets(found.select("node", "text"), width).dropDuplicates(["node"]), "sets")
 
-    def candidates(pairs: DataFrame) -> DataFrame:
-        return pairs.where(could_link("n_a", "n_b", similarity)).distinct()
-
-    links: DataFrame | None = None
-    groups: DataFrame | None = None
-    open_buckets = buckets.withColumn("root", F.col("node"))
-    for step in range(CENTRE_ROUNDS + 1):
-        if step < CENTRE_ROUNDS:
-            best = open_buckets.groupBy("key").agg(F.max(F.struct("company", (-F.col("node")).alias("other"), "n", "root")).alias("centre"))
-            centres = best.select("key", (-F.col("centre.other")).alias("centre"), F.col("centre.n").alias("n_centre"), F.col("centre.root").alias("centre_root"))
-            pairs = candidates(
-                open_buckets.join(centres.hint("merge"), "key")
-                .where("root != centre_root")
-                .select(F.col("centre").alias("a"), F.col("n_centre").alias("n_a"), F.col("node").alias("b"), F.col("n").alias("n_b"))
-            )
-        else:
-            pairs = candidates(
-                pairs_within(open_buckets.drop("company"), ["key"], "node", ["n", "root"]).where("root_a != root_b").select("a", "n_a", "b", "n_b")
-            )
-        new = verified(pairs, sets, similarity)
-        links = materialize(new if links is None else new.unionByName(links), "links")
-        groups = components(links, "a", "b")
-        if step == CENTRE_ROUNDS:
-            break
-        reached = groups.select("node", F.col("root").alias("reached"))
-        rooted = materialize(buckets.join(reached, "node", "left").withColumn("root", F.coalesce("reached", "node")).drop("reached"), "rooted")
-        mixed = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("key")
-        open_buckets = materialize(rooted.join(mixed, "key", "left_semi"), "open-buckets")
-        if not open_buckets.head(1):
-            break
+    large = F.col("members") > SMALL_BUCKET
+    stars = (
+        buckets.where("node != centre")
+        .groupBy("centre", "node")
+        .agg(F.first("n_centre").alias("n_a"), F.first("n").alias("n_b"), F.max(large).alias("large"))
+        .select(F.col("centre").alias("a"), "n_a", F.col("node").alias("b"), "n_b", "large")
+        .where(F.col("large") | could_link("n_a", "n_b", similarity))
+    )
+    stars = materialize(compared(stars, sets, F.when(F.col("large"), F.array_except("of_b", "of_a")).alias("outside")), "stars")
+    linked = enough(F.col("common"), "n_a", "n_b", similarity)
+    groups = components(stars.where(linked).select("a", "b"), "a", "b")
+    reached = groups.select("node", F.col("root").alias("reached"))
+    rooted = materialize(buckets.join(reached, "node", "left").withColumn("root", F.coalesce("reached", "node")).drop("reached"), "rooted")
+    mixed = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("key")
+    open_buckets = materialize(rooted.join(mixed.hint("merge"), "key", "left_semi"), "open-buckets")
+    few = pairs_within(open_buckets.where(~large).select("key", "node", "n", "root"), ["key"], "node", ["n", "root"])
+    few = few.where((F.col("root_a") != F.col("root_b")) & could_link("n_a", "n_b", similarity)).select("a", "n_a", "b", "n_b")
+    group = open_buckets.where(large & (F.col("node") != F.col("centre"))).select("centre", "node", "n", "root").distinct()
+    known_star = stars.where("large").select(F.col("a").alias("c"), F.col("b").alias("of"), "common", "outside", linked.alias("linked"))
+    group = group.join(known_star.hint("merge"), (F.col("centre") == F.col("c")) & (F.col("node") == F.col("of")))
+    many = around_centres(materialize(group.drop("c", "of"), "groups"), similarity)
+    pairs = few.unionByName(many.select("a", "n_a", "b", "n_b")).distinct()
+    more = compared(pairs, sets).where(enough(F.col("common"), "n_a", "n_b", similarity)).select("a", "b")
+    more = materialize(more, "links")
+    if more.head(1):
+        groups = components(groups.where("node != root").select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more), "a", "b")
 
     of_node = nodes.join(groups.select(F.col("node").alias("member"), "root"), F.col("node") == F.col("member"), "left").select(
         F.col("set_key").alias("key"), F.coalesce("root", "node").alias("root")
