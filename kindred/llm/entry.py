@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kindred.llm import exact_dedup, language_id, mixing, packing, quality_rules, recurrent_lm, super_minhash
+from kindred.llm import exact_dedup, language_id, mixing, packing, pii, quality_rules, recurrent_lm, super_minhash, token_counts, url_filters
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_pii_surrogates": pii.op1_pii_surrogates,
         "op2_recurrent_lm": recurrent_lm.op2_recurrent_lm,
+        "op3_url_filters": url_filters.op3_url_filters,
+        "op4_token_counts": token_counts.op4_token_counts,
         "op5_language_id": language_id.op5_language_id,
         "op6_best_fit_packing": packing.op6_best_fit_packing,
         "op7_exact_dedup": exact_dedup.op7_exact_dedup,
@@ -23,8 +26,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_pii_surrogates": pii.op1_pii_surrogates,
         "op2_recurrent_lm": recurrent_lm.op2_recurrent_lm,
+        "op3_url_filters": url_filters.op3_url_filters,
+        "op4_token_counts": token_counts.op4_token_counts,
         "op5_language_id": language_id.op5_language_id,
         "op6_best_fit_packing": packing.op6_best_fit_packing,
+        "op3_url_filters": url_filters.ORACLE,
+        "op4_token_counts": token_counts.ORACLE,
         "op7_exact_dedup": exact_dedup.ORACLE,
     }
