@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kindred.llm.texts import SPACE, materialize, table
+from kindred.llm.texts import SPACE, keep_rows, materialize, table, text_hash
 
 #: Bytes of the first digit, and how much longer each level's digit is.
 FIRST_DIGIT = 64
@@ -24,13 +24,13 @@ WIDENING = 8
 
 
 def normalised(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_points, text_sha256, tail): the length of the text, and its bytes without white space."""
+    """(doc_id, text_hash, n_points, text_sha256, tail): the length of the text, and its bytes without white space."""
     raw = F.coalesce(F.col(text), F.lit(""))
     bare = docs.select(
-        F.col(doc_id).alias("doc_id"), F.length(raw).alias("n_points"), F.regexp_replace(raw, SPACE + "+", "").alias("bare")
+        F.col(doc_id).alias("doc_id"), text_hash(text).alias("text_hash"), F.length(raw).alias("n_points"), F.regexp_replace(raw, SPACE + "+", "").alias("bare")
     )
     return bare.select(
-        "doc_id", "n_points", F.sha2(F.col("bare").cast("binary"), 256).alias("text_sha256"), F.col("bare").cast("binary").alias("tail")
+        "doc_id", "text_hash", "n_points", F.sha2(F.col("bare").cast("binary"), 256).alias("text_sha256"), F.col("bare").cast("binary").alias("tail")
     )
 
 
@@ -85,7 +85,7 @@ def equality_classes(rows: DataFrame, first_digit: int = FIRST_DIGIT, widening:
 
 
 def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256.
+    """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256, text_hash.
 
     Texts are equal when they are identical without white space; a null text counts as empty, and empty texts are
     equal to each other. The row with the most code points in its original text stays, then the one with the
@@ -103,7 +103,7 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
         .agg(F.min(order).alias("best"), F.count("*").alias("size"))
         .select(F.col("class_id").alias("of"), "best", "size")
     )
-    member = rows.join(classes, F.col("class_id") == F.col("of"), "left")
+    member = rows.join(classes.hint("merge"), F.col("class_id") == F.col("of"), "left")
     unique = F.col("class_id").isNull()
     return member.select(
         "doc_id",
@@ -111,12 +111,18 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
         F.when(unique, F.lit(1)).otherwise(F.col("size")).cast("long").alias("group_size"),
         (unique | (F.col("row_id") == F.col("best.row_id"))).alias("kept"),
         "text_sha256",
+        "text_hash",
     )
 
 
+def unique_documents(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that stay, one of each class of equal texts."""
+    return keep_rows(docs, deduplicate(docs))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact duplicates among all documents."""
-    return deduplicate(table(spark, sf_dir, "documents"))
+    return deduplicate(table(spark, sf_dir, "documents")).drop("text_hash")
 
 
 ORACLE = r"""

@@ -214,16 +214,16 @@ def mix(
         if size < 2 * lacking[p]:  # nearer with it than without
             extra[cell].append(at)
     decided = spark.createDataFrame(
-        [(*cell, under[cell], extra[cell], whole[cell[0]]) for cell in under], "pattern string, class int, under int, extra array<int>, whole int"
+        [(*cell, under[cell], extra[cell], whole[cell[0]]) for cell in under], "pattern string, class int, under int, extra array<int>, uses int"
     )
     carried = rows.columns
     base = spark.createDataFrame(
-        [(c["pattern"], c["class"], whole[c["pattern"]]) for c in cells] + [(None, None, 0)], "pattern string, class int, whole int"
+        [(c["pattern"], c["class"], whole[c["pattern"]]) for c in cells] + [(None, None, 0)], "pattern string, class int, uses int"
     ).join(small(cuts.select("pattern", "class", "first", "beyond")), ["pattern", "class"], "left")
     plain = keyed.join(small(base), ["pattern", "class"], "left").where("first is null or bucket < first or bucket >= beyond")
-    plain = plain.withColumn("epochs", F.coalesce("whole", F.lit(0)) + F.coalesce((F.col("bucket") < F.col("first")).cast("int"), F.lit(0)))
+    plain = plain.withColumn("epochs", F.coalesce("uses", F.lit(0)) + F.coalesce((F.col("bucket") < F.col("first")).cast("int"), F.lit(0)))
     cut = at_cut(carried).join(small(decided), ["pattern", "class"], "left")
-    cut = cut.withColumn("epochs", F.coalesce("whole", F.lit(0)) + F.coalesce(F.col("number") <= F.col("under"), F.lit(True)).cast("int"))
+    cut = cut.withColumn("epochs", F.coalesce("uses", F.lit(0)) + F.coalesce(F.col("number") <= F.col("under"), F.lit(True)).cast("int"))
     cut = cut.withColumn("epochs", F.col("epochs") + F.coalesce(F.array_contains("extra", F.col("number")), F.lit(False)).cast("int"))
     return plain.select(*carried, "epochs").unionByName(cut.select(*carried, "epochs")), sizes, targets
 

@@ -111,12 +111,21 @@ def statistics(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", carr
     covered = repeated.select(
         *numbers, F.transform("at", lambda p, i: F.least(F.lit(3), F.coalesce(F.get("at", i + 1) - p, F.lit(3)))).alias("covers")
     )
-    return covered.select(
-        F.col("id").alias("doc_id"),
-        *([F.col("carried").alias(carry)] if carry else []),
-        *[F.col(c).cast("long").alias(c) for c in numbers[len(kept):]],
-        F.aggregate("covers", F.lit(0).cast("long"), lambda total, n: total + n).alias("n_repeat_words"),
+    # One generated row keeps a later filter on these numbers above the expressions they come from: pushed down, it
+    # would repeat each of them wherever it is used.
+    rows = covered.select(
+        *kept,
+        F.inline(
+            F.array(
+                F.struct(
+                    *[F.col(c).cast("long").alias(c) for c in numbers[len(kept):]],
+                    F.aggregate("covers", F.lit(0).cast("long"), lambda total, n: total + n).alias("n_repeat_words"),
+                )
+            )
+        ),
     )
+    renamed = rows.withColumnRenamed("id", "doc_id")
+    return renamed.withColumnRenamed("carried", carry) if carry else renamed
 
 
 def features() -> dict[str, Column]:

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kindred.llm.components import components
-from kindred.llm.texts import materialize, table
+from kindred.llm.texts import keep_rows, materialize, table, text_hash
 from kindred.operators.pairs import pairs_within
 
 #: Bands and rows: a pair of similarity 0.8 shares no band with a probability of 3e-6.
@@ -218,7 +218,7 @@ def near_duplicates(
     docs: DataFrame, width: int = SHINGLE_WORDS, similarity: int = SIMILARITY, doc_id: str = "doc_id", text: str = "text",
     bands: int = BANDS, rows: int = ROWS,
 ) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_shingles, component_id, kept, row_id, keeper.
+    """One row per row of ``docs``: doc_id, n_shingles, component_id, kept, keeper, text_hash.
 
     Documents are linked when 100 * shared >= similarity * all of their word shingles. ``component_id`` is the
     smallest doc_id reachable over links, ``kept`` says whether it is the row's own; with null ids only, both are
@@ -226,7 +226,7 @@ def near_duplicates(
     of each component, also among rows of one id. Extra columns are ignored, no rows give no rows.
     """
     plain = docs.select(
-        F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("text_hash")
+        F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), text_hash(text).alias("text_hash")
     )
     known = materialize(sketches(plain, width, bands, rows).withColumn("row_id", F.monotonically_increasing_id()), "sketches")
     nodes = materialize(known.where("set_key is not null").groupBy("set_key").agg(F.min("row_id").alias("node")), "nodes")
@@ -277,14 +277,20 @@ def near_duplicates(
         F.col("set_key").alias("key"), F.coalesce("root", "node").alias("root")
     )
     placed = known.drop("keys").join(of_node, F.col("set_key") == F.col("key"), "left").withColumn("root", F.coalesce("root", "row_id"))
-    placed = materialize(placed.select("doc_id", "n_shingles", "row_id", "root"), "placed")
+    placed = materialize(placed.select("doc_id", "text_hash", "n_shingles", "row_id", "root"), "placed")
     first = F.struct(F.col("doc_id").isNull().alias("unknown"), F.col("doc_id").alias("id"), F.col("row_id").alias("row"))
     best = placed.groupBy("root").agg(F.min(first).alias("first")).select(F.col("root").alias("of"), "first.id", "first.row")
     return placed.join(best, F.col("root") == F.col("of")).select(
-        "doc_id", "n_shingles", F.col("id").alias("component_id"), F.col("doc_id").eqNullSafe(F.col("id")).alias("kept"), "row_id", (F.col("row_id") == F.col("row")).alias("keeper")
+        "doc_id", "n_shingles", F.col("id").alias("component_id"), F.col("doc_id").eqNullSafe(F.col("id")).alias("kept"), (F.col("row_id") == F.col("row")).alias("keeper"), "text_hash"
     )
 
 
+def unlike_documents(docs: DataFrame, width: int = SHINGLE_WORDS) -> DataFrame:
+    """The rows of ``docs`` that stay: one of each component, the one with the smallest id (null last)."""
+    found = near_duplicates(docs, width)
+    return keep_rows(docs, found.select("doc_id", "text_hash", F.col("keeper").alias("kept")))
+
+
 def op10_super_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicates among all documents: sets of two-word shingles, similarity 0.8."""
     return near_duplicates(table(spark, sf_dir, "documents"), width=2).select("doc_id", "n_shingles", "component_id", "kept")

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kindred.session import materialize
 
-__all__ = ["DOCUMENT", "SPACE", "WORD", "held_out", "materialize", "table", "text_or_empty", "words"]
+__all__ = ["DOCUMENT", "SPACE", "WORD", "held_out", "keep_rows", "materialize", "text_hash", "table", "text_or_empty", "words"]
 
 #: Columns of the table ``documents``.
 DOCUMENT = ("doc_id", "text", "lang", "source", "n_chars")
@@ -33,3 +33,25 @@ def words(text: Column) -> Column:
 def held_out(doc_id: Column, folds: int) -> Column:
     """Whether crc32 of the id as text leaves the remainder 1; a null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds == 1
+
+
+def text_hash(text: str = "text") -> Column:
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+
+
+def keep_rows(docs: DataFrame, decided: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that ``decided`` (doc_id, text_hash, kept; one row per row of ``docs``) keeps.
+
+    Rows are known by id and text. Of rows alike in both, as many stay as are kept. All columns stay, whatever their
+    names. Only ids and hashes are grouped; each text is shuffled once, to meet the decision on it.
+    """
+    keys = decided.groupBy("doc_id", "text_hash").agg(F.sum(F.col("kept").cast("long")).alias("stay"), F.count("*").alias("rows"))
+    keys = materialize(keys.where("stay < rows"), "decisions").select(F.col("doc_id").alias("of"), F.col("text_hash").alias("of_hash"), "stay")
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole"), "doc_id", text_hash().alias("hash"))
+    joined = whole.join(keys.hint("merge"), F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("hash") == F.col("of_hash")), "left")
+    untouched = joined.where("stay is null").select("whole.*")
+    if not keys.where("stay > 0").head(1):
+        return untouched
+    alike = Window.partitionBy("doc_id", "hash").orderBy("hash")
+    some = joined.where("stay > 0").withColumn("place", F.row_number().over(alike)).where("place <= stay")
+    return untouched.unionByName(some.select("whole.*"))
