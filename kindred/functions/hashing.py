@@ -26,9 +26,22 @@ def linear_hash(x: Column, a: int, b: int, prime: int = PRIME) -> Column:
 def mix(left: Column, right: Column) -> Column:
     """Integer mix of two numeric ids into [0, 1000003).
 
-    Plain arithmetic, so that any SQL engine can repeat it; string ids are hashed to numbers first.
+    Multiplications modulo a prime with shifts and exclusive ors between them, which break up the arithmetic
+    progressions that ids often are. Plain integer arithmetic, so that any SQL engine can repeat it (``mix_sql``);
+    string ids are hashed to numbers first.
     """
-    return F.pmod(left * F.lit(7919) + right * F.lit(104729), F.lit(1_000_003))
+    h = (F.pmod(left, F.lit(PRIME)) * F.lit(48_271) + F.pmod(right, F.lit(PRIME)) * F.lit(69_621) + F.lit(12_345)) % F.lit(PRIME)
+    h = h.bitwiseXOR(F.shiftright(h, 15)) * F.lit(1_103_515_245) % F.lit(PRIME)
+    h = h.bitwiseXOR(F.shiftright(h, 13)) * F.lit(48_271) % F.lit(PRIME)
+    return h % F.lit(MIX_RANGE)
+
+
+def mix_sql(left: str, right: str) -> str:
+    """``mix`` as SQL for ids that are not negative."""
+    h = f"((({left}) % {PRIME} * 48271::BIGINT + ({right}) % {PRIME} * 69621::BIGINT + 12345) % {PRIME})"
+    h = f"(xor({h}, {h} >> 15) * 1103515245 % {PRIME})"
+    h = f"(xor({h}, {h} >> 13) * 48271 % {PRIME})"
+    return f"({h} % {MIX_RANGE})"
 
 
 MIX_RANGE = 1_000_003

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Spread below this is rounding noise of the moment sums, not variance.
+# A spread below this share of the sum of squares is rounding noise of the moment sums, not variance.
 MIN_SPREAD = 1e-9
 
 
@@ -16,8 +16,9 @@ def pearson(n: Column, sx: Column, sy: Column, sxx: Column, syy: Column, sxy: Co
     """
     vx = n * sxx - sx * sx
     vy = n * syy - sy * sy
-    varies = (vx > MIN_SPREAD) & (vy > MIN_SPREAD)
-    return F.when(varies, F.round((n * sxy - sx * sy) / F.sqrt(vx * vy), 6))
+    varies = (vx > MIN_SPREAD * n * sxx) & (vy > MIN_SPREAD * n * syy)
+    r = (n * sxy - sx * sy) / (F.sqrt(vx) * F.sqrt(vy))
+    return F.when(varies, F.round(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)), 6))
 
 
 def jaccard(overlap: Column, n_a: Column, n_b: Column) -> Column:

@@ -31,8 +31,8 @@ def predict_item_based(model: DataFrame, ratings: DataFrame, pairs: DataFrame, k
 def predict_user_based(model: DataFrame, ratings: DataFrame, pairs: DataFrame, k: int = USER_NEIGHBOURS) -> DataFrame:
     """Predicted ``stars``: the user's mean plus the weighted deviations of similar users who rated the item.
 
-    The k most similar users are taken before looking at what they rated, so a pair expands into at most
-    k rows.
+    The k most similar users are taken before looking at what they rated. A pair then expands either its user's
+    neighbours or its item's raters, whichever are fewer.
     """
     wanted = pairs.select("user_id", "item_id").distinct()
     means = ratings.groupBy("user_id").agg(F.avg("rating").alias("mean"))
@@ -42,7 +42,7 @@ def predict_user_based(model: DataFrame, ratings: DataFrame, pairs: DataFrame, k
     deviations = ratings.join(means, "user_id").select(
         F.col("user_id").alias("other"), "item_id", (F.col("rating") - F.col("mean")).alias("deviation")
     )
-    votes = wanted.join(neighbours, "user_id").join(deviations, ["other", "item_id"])
+    votes = meet(wanted, neighbours, deviations, "user_id", "item_id", "other")
     return (
         votes.groupBy("user_id", "item_id")
         .agg(weighted_mean(F.col("sim"), F.col("deviation")).alias("shift"))

@@ -56,7 +56,7 @@ def baskets(ratings: DataFrame, key: str, member: str, chunk_size: int = 1000) -
     chunks = F.ceil(F.col("n_members") / chunk_size)
     return (
         distinct.join(sizes, key)
-        .withColumn("chunk", F.pmod(number, chunks))
+        .withColumn("chunk", mix(number, F.lit(0)) % chunks)
         .groupBy(key, "n_members", "chunk")
         .agg(F.sort_array(F.collect_list(member)).alias("members"))
     )
@@ -73,10 +73,7 @@ def liked_items(reviews: DataFrame, threshold: float = LIKED_FROM, user: object
 def pair_mix(df: DataFrame, left: str = "user_id", right: str = "item_id") -> Column:
     """Reproducible pseudo-random integer of a pair of ids."""
     types = dict(df.dtypes)
-    return mix(
-        F.pmod(numeric_id(F.col(left), types[left]), F.lit(MIX_RANGE)),
-        F.pmod(numeric_id(F.col(right), types[right]), F.lit(MIX_RANGE)),
-    )
+    return mix(numeric_id(F.col(left), types[left]), numeric_id(F.col(right), types[right]))
 
 
 def seed_sample(liked: DataFrame, share: float = SEED_SHARE, at_most: int = MAX_SEEDS) -> DataFrame:

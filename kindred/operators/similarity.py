@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from kindred.defaults import MIN_CO_RATED, MIN_JACCARD_ITEMS, MIN_JACCARD_USERS
 from kindred.functions.scores import jaccard, pearson
-from kindred.operators.minhash import keep_banded, minhash_signatures
-from kindred.operators.pairs import pairs_within
+from kindred.operators.minhash import keep_banded, lsh_candidates, minhash_signatures
+from kindred.operators.pairs import meet, pairs_within
 
 MOMENTS = ("n", "sx", "sy", "sxx", "syy", "sxy")
 
@@ -29,23 +29,34 @@ def co_rated_moments(
     key: str,
     member: str,
     min_support: int = MIN_CO_RATED,
+    min_jaccard: float = 0.0,
 ) -> DataFrame:
-    """Count and moment sums over the keys that both members of a pair have, for n >= ``min_support``.
+    """Count, moment sums and list sizes (``size_a``, ``size_b``) of pairs that share >= ``min_support`` keys.
 
     A pair with support m shares at least one key outside any set of m - 1 keys. The m - 1 busiest keys
     are therefore left out of the self-join: their pairs would be the most, and add no pair that the
-    other keys do not find. What they contribute to the pairs found is added afterwards from at most
-    m - 1 values per member. The result is exact.
+    other keys do not find. What they contribute travels with each member as at most m - 1 values, so pairs
+    are shuffled once, by the aggregate, and tested there. Sizes that rule ``min_jaccard`` out are
+    dropped before it. The result is exact.
     """
     rows = ratings.select(key, member, F.col("rating").alias("x"))
-    held = min_support - 1
-    if held > 0:
+    held = max(min_support - 1, 0)
+    slots = [f"h{i}" for i in range(held)]
+    of_member = rows.groupBy(member).agg(F.count(F.lit(1)).alias("size"))
+    joined = rows
+    if held:
         busy = F.broadcast(busiest_keys(rows, key, held))  # at most min_support - 1 rows
-        joined = rows.join(busy, key, "left_anti")
-    else:
-        joined = rows
-    met = pairs_within(joined, [key], member, ("x",))
+        joined = rows.join(busy.select(key), key, "left_anti")
+        of_member = (
+            rows.join(busy, key, "left")
+            .groupBy(member)
+            .agg(F.count(F.lit(1)).alias("size"), *[F.max(F.when(F.col("slot") == i, F.col("x"))).alias(s) for i, s in enumerate(slots)])
+        )
+    met = pairs_within(joined.join(of_member, member), [key], member, ("x", "size", *slots))
+    if min_jaccard > 0:
+        met = met.where(F.least("size_a", "size_b") >= F.lit(min_jaccard) * F.greatest("size_a", "size_b"))
     x, y = F.col("x_a"), F.col("x_b")
+    sides = [f"{c}_{side}" for c in ("size", *slots) for side in ("a", "b")]
     found = met.groupBy("a", "b").agg(
         F.count(F.lit(1)).alias("n"),
         F.sum(x).alias("sx"),
@@ -53,34 +64,21 @@ def co_rated_moments(
         F.sum(x * x).alias("sxx"),
         F.sum(y * y).alias("syy"),
         F.sum(x * y).alias("sxy"),
+        *[F.max(c).alias(c) for c in sides],  # the same in all rows of the pair
     )
-    if held == 0:
-        return found.where(F.col("n") >= min_support)
-
-    slots = [f"h{i}" for i in range(held)]
-    held_values = (
-        rows.join(busy, key)
-        .groupBy(member)
-        .agg(*[F.max(F.when(F.col("slot") == i, F.col("x"))).alias(s) for i, s in enumerate(slots)])
-    )
-
-    def of(side: str) -> DataFrame:
-        return held_values.select(F.col(member).alias(side), *[F.col(s).alias(f"{s}_{side}") for s in slots])
-
-    both = found.join(of("a"), "a", "left").join(of("b"), "b", "left")
     totals = {m: F.col(m) for m in MOMENTS}
     for s in slots:
         hx, hy = F.col(f"{s}_a"), F.col(f"{s}_b")
         shared = hx.isNotNull() & hy.isNotNull()
         terms = {"n": F.lit(1), "sx": hx, "sy": hy, "sxx": hx * hx, "syy": hy * hy, "sxy": hx * hy}
         totals = {m: totals[m] + F.when(shared, terms[m]).otherwise(F.lit(0)) for m in MOMENTS}
-    return both.select("a", "b", *[totals[m].alias(m) for m in MOMENTS]).where(F.col("n") >= min_support)
+    return found.select("a", "b", "size_a", "size_b", *[totals[m].alias(m) for m in MOMENTS]).where(F.col("n") >= min_support)
 
 
 def with_pearson(moments: DataFrame) -> DataFrame:
-    """Pairs with a positive, defined correlation: ``(a, b, n, sim)``."""
+    """Pairs with a positive, defined correlation: ``(a, b, n, size_a, size_b, sim)``."""
     score = pearson(*[F.col(m) for m in MOMENTS])
-    return moments.select("a", "b", "n", score.alias("sim")).where(F.col("sim") > 0)
+    return moments.select("a", "b", "n", "size_a", "size_b", score.alias("sim")).where(F.col("sim") > 0)
 
 
 def co_rating_counts(ratings: DataFrame, key: str, member: str, min_support: int = MIN_CO_RATED) -> DataFrame:
@@ -94,14 +92,7 @@ def item_similarity(ratings: DataFrame, min_support: int = MIN_CO_RATED) -> Data
     return model.select(F.col("a").alias("b1"), F.col("b").alias("b2"), "sim")
 
 
-def _with_sizes(pairs: DataFrame, profiles: DataFrame, entity: str) -> DataFrame:
-    for side in ("a", "b"):
-        one = profiles.select(F.col(entity).alias(side), F.col("n_members").alias(f"n_members_{side}"))
-        pairs = pairs.join(one, side)
-    return pairs
-
-
-def lsh_candidates(
+def lsh_co_raters(
     ratings: DataFrame,
     key: str,
     member: str,
@@ -111,14 +102,65 @@ def lsh_candidates(
 ) -> DataFrame:
     """Pairs ``(a, b)`` that share an LSH band and at least ``min_support`` keys, each once.
 
-    Pairs with less support are dropped by every model, and those are the pairs a hot bucket is full
-    of. They are not made: the co-rating join finds the pairs, the signatures only confirm the band.
+    For wide bands, whose buckets hold nearly all pairs: the co-rating join finds the pairs that a model with that
+    support can keep, and the signatures only confirm the band. ``minhash.lsh_candidates`` is the search.
     """
     counts = co_rating_counts(ratings, key, member, min_support)
     signatures = minhash_signatures(ratings.select(member, key), member, key, **hash_options)
     return keep_banded(counts.select("a", "b"), signatures, member, rows)
 
 
+def candidate_moments(candidates: DataFrame, ratings: DataFrame, key: str, member: str) -> DataFrame:
+    """Count and moment sums of the keys that the members of each candidate pair ``(a, b)`` share, if any."""
+    left = ratings.select(F.col(member).alias("a"), key, F.col("rating").alias("x"))
+    right = ratings.select(F.col(member).alias("b"), key, F.col("rating").alias("y"))
+    x, y = F.col("x"), F.col("y")
+    return (
+        meet(candidates.select("a", "b"), left, right, "a", "b", key)
+        .groupBy("a", "b")
+        .agg(
+            F.count(F.lit(1)).alias("n"), F.sum(x).alias("sx"), F.sum(y).alias("sy"),
+            F.sum(x * x).alias("sxx"), F.sum(y * y).alias("syy"), F.sum(x * y).alias("sxy"),
+        )
+    )
+
+
+def _sized(pairs: DataFrame, profiles: DataFrame, entity: str) -> DataFrame:
+    for side in ("a", "b"):
+        pairs = pairs.join(profiles.select(F.col(entity).alias(side), F.col("n_members").alias(f"size_{side}")), side)
+    return pairs
+
+
+def user_similarity_search(
+    ratings: DataFrame,
+    rows: int,
+    min_support: int = MIN_CO_RATED,
+    min_jaccard: float = MIN_JACCARD_USERS,
+    **hash_options,
+) -> DataFrame:
+    """The user model ``(u1, u2, sim)`` over the pairs that LSH finds; no other pair is ever made."""
+    profiles = minhash_signatures(ratings.select("user_id", "item_id"), "user_id", "item_id", **hash_options)
+    found = _sized(lsh_candidates(profiles, "user_id", rows), profiles, "user_id")
+    found = found.where(F.least("size_a", "size_b") >= F.lit(min_jaccard) * F.greatest("size_a", "size_b"))
+    moments = candidate_moments(found, ratings, "item_id", "user_id").where(F.col("n") >= min_support)
+    scored = with_pearson(moments.join(found, ["a", "b"]))
+    kept = scored.where(jaccard(F.col("n"), F.col("size_a"), F.col("size_b")) >= min_jaccard)
+    return kept.select(F.col("a").alias("u1"), F.col("b").alias("u2"), "sim")
+
+
+def item_jaccard_search(ratings: DataFrame, rows: int, threshold: float = MIN_JACCARD_ITEMS, **hash_options) -> DataFrame:
+    """Item pairs ``(b1, b2, sim)`` with J > ``threshold`` among those that LSH finds."""
+    basket = ratings.select("item_id", "user_id").distinct()
+    profiles = minhash_signatures(basket, "item_id", "user_id", **hash_options)
+    found = _sized(lsh_candidates(profiles, "item_id", rows), profiles, "item_id")
+    found = found.where(F.least("size_a", "size_b") > F.lit(threshold) * F.greatest("size_a", "size_b"))
+    left, right = (basket.select(F.col("item_id").alias(side), "user_id") for side in ("a", "b"))
+    shared = meet(found.select("a", "b"), left, right, "a", "b", "user_id").groupBy("a", "b").agg(F.count(F.lit(1)).alias("overlap"))
+    scored = shared.join(found, ["a", "b"]).withColumn("jaccard", jaccard(F.col("overlap"), F.col("size_a"), F.col("size_b")))
+    kept = scored.where(F.col("jaccard") > threshold)
+    return kept.select(F.col("a").alias("b1"), F.col("b").alias("b2"), F.round("jaccard", 6).alias("sim"))
+
+
 def user_similarity(
     ratings: DataFrame,
     min_support: int = MIN_CO_RATED,
@@ -133,11 +175,10 @@ def user_similarity(
     Jaccard >= ``min_jaccard``, and correlate positively. Co-ratings are counted first and the
     signatures are looked up for the few pairs left; the result is that of joining the buckets first.
     """
-    profiles = minhash_signatures(ratings.select("user_id", "item_id"), "user_id", "item_id", **hash_options)
-    scored = with_pearson(co_rated_moments(ratings, "item_id", "user_id", min_support))
-    sized = _with_sizes(scored, profiles, "user_id")
-    kept = sized.where(jaccard(F.col("n"), F.col("n_members_a"), F.col("n_members_b")) >= min_jaccard)
+    scored = with_pearson(co_rated_moments(ratings, "item_id", "user_id", min_support, min_jaccard))
+    kept = scored.where(jaccard(F.col("n"), F.col("size_a"), F.col("size_b")) >= min_jaccard)
     if lsh:
+        profiles = minhash_signatures(ratings.select("user_id", "item_id"), "user_id", "item_id", **hash_options)
         kept = keep_banded(kept, profiles, "user_id", rows)
     return kept.select(F.col("a").alias("u1"), F.col("b").alias("u2"), "sim")
 

@@ -34,6 +34,8 @@ STOPWORDS = (
     "de la le les des et un une en que el los las y der die das und den von"
 ).split()
 SEARCH_TEXT = "Thatin, threen ononst: hetition & the ereden 42 achte!"
+# Rows per band of the LSH search: 25 bands of two rows.
+LSH_ROWS = 2
 RARE_SHARE = 1e-5
 
 
@@ -145,7 +147,12 @@ def lsh_buckets(spark, sf):
 
 
 def lsh_candidates(spark, sf):
-    return S.lsh_candidates(_ratings(spark, sf), "item_id", "user_id")
+    signatures = M.minhash_signatures(_ratings(spark, sf).select("user_id", "item_id"), "user_id", "item_id")
+    return M.lsh_candidates(signatures, "user_id", LSH_ROWS)
+
+
+def lsh_co_raters(spark, sf):
+    return S.lsh_co_raters(_ratings(spark, sf), "item_id", "user_id")
 
 
 def lsh_verified_jaccard(spark, sf):
@@ -156,29 +163,40 @@ def lsh_user_pearson(spark, sf):
     return S.user_similarity(_ratings(spark, sf))
 
 
+def lsh_user_pearson_search(spark, sf):
+    return S.user_similarity_search(_ratings(spark, sf), LSH_ROWS)
+
+
 def lsh_recall(spark, sf):
+    """What the search finds of all pairs above the threshold."""
+    ratings = _ratings(spark, sf)
+    return E.recall(S.item_jaccard_search(ratings, LSH_ROWS), S.item_jaccard(ratings, lsh=False), "b1", "b2")
+
+
+def lsh_confirmed_recall(spark, sf):
+    """What bands of one row leave of all pairs above the threshold."""
     ratings = _ratings(spark, sf)
     return E.recall(S.item_jaccard(ratings), S.item_jaccard(ratings, lsh=False), "b1", "b2")
 
 
 def item_predict(spark, sf):
     train, test = _split(spark, sf)
-    return P.predict_item_based(S.item_similarity(train), train, test)
+    return P.predict_item_based(materialize(S.item_similarity(train), "item-model"), train, test)
 
 
 def user_predict(spark, sf):
     train, test = _split(spark, sf)
-    return P.predict_user_based(S.user_similarity(train), train, test)
+    return P.predict_user_based(materialize(S.user_similarity(train), "user-model"), train, test)
 
 
 def item_predict_rmse(spark, sf):
     train, test = _split(spark, sf)
-    return E.rmse(P.predict_item_based(S.item_similarity(train), train, test), test)
+    return E.rmse(P.predict_item_based(materialize(S.item_similarity(train), "item-model"), train, test), test)
 
 
 def user_predict_rmse(spark, sf):
     train, test = _split(spark, sf)
-    return E.rmse(P.predict_user_based(S.user_similarity(train), train, test), test)
+    return E.rmse(P.predict_user_based(materialize(S.user_similarity(train), "user-model"), train, test), test)
 
 
 def friends_avg(spark, sf):
@@ -265,7 +283,7 @@ def hybrid_union(spark, sf):
     """Content recommendations blended with item-based predictions for pairs without a review."""
     ratings = materialize(T.review_ratings(spark, sf), "review-ratings")
     unseen = R.without_known(T.review_pairs(spark, sf), ratings)
-    predicted = P.predict_item_based(S.item_similarity(ratings), ratings, unseen)
+    predicted = P.predict_item_based(materialize(S.item_similarity(ratings), "item-model"), ratings, unseen)
     return _rank(H.hybrid(content_recommend(spark, sf), predicted.withColumnRenamed("stars", "score")))
 
 
@@ -295,12 +313,21 @@ def average_map_file(spark, sf):
 
 
 def similarity_model_file(spark, sf):
-    """The item model written as JSON lines, read back, and used from the file."""
+    """The item model written as JSON lines and read back."""
     path = scratch_path(spark, "item-model")
     IO.write_json(S.item_similarity(_ratings(spark, sf)), path)
     return IO.read_json(spark, path, D.ITEM_MODEL)
 
 
+def item_predict_from_file(spark, sf):
+    """Predictions by a program that has only the model's file and the ratings."""
+    train, test = _split(spark, sf)
+    path = scratch_path(spark, "item-model")
+    IO.write_json(S.item_similarity(train), path)
+    model = IO.read_json(spark, path, D.ITEM_MODEL).select(F.col("b1").cast("bigint"), F.col("b2").cast("bigint"), "sim")
+    return P.predict_item_based(model, train, test)
+
+
 def predictions_file(spark, sf):
     path = scratch_path(spark, "predictions")
     IO.write_json(_business(item_predict(spark, sf)), path)
@@ -399,6 +426,10 @@ def queries() -> dict[str, Query]:
         "lsh_verified_jaccard": lsh_verified_jaccard,
         "lsh_user_pearson": lsh_user_pearson,
         "lsh_recall": lsh_recall,
+        "lsh_co_raters": lsh_co_raters,
+        "lsh_user_pearson_search": lsh_user_pearson_search,
+        "lsh_confirmed_recall": lsh_confirmed_recall,
+        "item_predict_from_file": item_predict_from_file,
         "item_predict": item_predict,
         "user_predict": user_predict,
         "item_predict_rmse": item_predict_rmse,

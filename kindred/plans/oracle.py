@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from kindred import defaults as D
-from kindred.functions.hashing import MIX_RANGE, PRIME, coefficients
+from kindred.functions.hashing import MIX_RANGE, PRIME, coefficients, mix_sql
 from kindred.functions.words import PUNCTUATION
-from kindred.plans.catalog import RARE_SHARE, SEARCH_TEXT, STOPWORDS
+from kindred.plans.catalog import LSH_ROWS, RARE_SHARE, SEARCH_TEXT, STOPWORDS
 
-MIX = f"(((user_id % {MIX_RANGE}) * 7919 + (item_id % {MIX_RANGE}) * 104729) % {MIX_RANGE})"
+MIX = mix_sql("user_id", "item_id")
 TEST_BOUND = int(D.TEST_SHARE * MIX_RANGE)
 SEED_BOUND = int(D.SEED_SHARE * MIX_RANGE)
 
@@ -43,8 +43,9 @@ def moments(source: str, key: str, member: str, name: str, min_support: int = D.
 def pearson(source: str, name: str) -> str:
     return f"""{name} AS (
   SELECT a, b, n, sim FROM (
-    SELECT a, b, n, round((n * sxy - sx * sy) / sqrt((n * sxx - sx * sx) * (n * syy - sy * sy)), 6) AS sim
-    FROM {source} WHERE n * sxx - sx * sx > 1e-9 AND n * syy - sy * sy > 1e-9)
+    SELECT a, b, n, round(greatest(-1.0, least(1.0,
+             (n * sxy - sx * sy) / (sqrt(n * sxx - sx * sx) * sqrt(n * syy - sy * sy)))), 6) AS sim
+    FROM {source} WHERE n * sxx - sx * sx > 1e-9 * n * sxx AND n * syy - sy * sy > 1e-9 * n * syy)
   WHERE sim > 0)"""
 
 
@@ -67,6 +68,15 @@ def banded(source: str, name: str) -> str:
   ON x.k = y.k AND x.minhash = y.minhash AND x.e < y.e)"""
 
 
+def banded_pairs_of(source: str, name: str, rows: int) -> str:
+    """Pairs that agree in all ``rows`` rows of a band."""
+    return f"""{name}_bands AS (
+  SELECT e, k // {rows} AS band, list(minhash ORDER BY k) AS bucket FROM {source} GROUP BY e, k // {rows}),
+{name} AS (
+  SELECT DISTINCT x.e AS a, y.e AS b FROM {name}_bands x JOIN {name}_bands y
+  ON x.band = y.band AND x.bucket = y.bucket AND x.e < y.e)"""
+
+
 def user_model(source: str, lsh: bool) -> str:
     """CTEs ending in ``user_model(a, b, sim)``."""
     parts = [
@@ -215,7 +225,7 @@ def basket(key: str, member: str) -> str:
     return query(
         RATINGS,
         "sizes AS (SELECT %s AS k, count(*) AS n_members FROM ratings GROUP BY 1)" % key,
-        select=f"""SELECT r.{key}, n_members, r.{member} % CAST(ceil(n_members / 1000) AS BIGINT) AS chunk,
+        select=f"""SELECT r.{key}, n_members, {mix_sql(f"r.{member}", "0")} % CAST(ceil(n_members / 1000) AS BIGINT) AS chunk,
        array_to_string(list_sort(list(r.{member})), ',') AS members
 FROM ratings r JOIN sizes ON k = r.{key} GROUP BY 1, 2, 3""",
     )
@@ -284,6 +294,21 @@ FROM ratings r JOIN u ON u.user_id = r.user_id JOIN i ON i.item_id = r.item_id""
             select="SELECT k AS band, minhash AS bucket, count(*) AS n FROM sigs GROUP BY 1, 2 HAVING count(*) > 1",
         ),
         "lsh_candidates": query(
+            RATINGS, signatures("ratings", "user_id", "item_id", "sigs"), banded_pairs_of("sigs", "candidates", LSH_ROWS),
+            select="SELECT a, b FROM candidates",
+        ),
+        "lsh_user_pearson_search": query(
+            RATINGS, user_model("ratings", lsh=False), signatures("ratings", "user_id", "item_id", "sigs"),
+            banded_pairs_of("sigs", "candidates", LSH_ROWS),
+            select="SELECT m.a AS u1, m.b AS u2, sim FROM user_model m JOIN candidates c ON c.a = m.a AND c.b = m.b",
+        ),
+        "lsh_recall": query(
+            RATINGS, JACCARD, signatures("ratings", "item_id", "user_id", "item_sigs"),
+            banded_pairs_of("item_sigs", "candidates", LSH_ROWS),
+            select="""SELECT count(c.a) AS n_found, count(*) AS n_exact, round(count(c.a) / count(*), 6) AS recall
+FROM exact e LEFT JOIN candidates c ON c.a = e.a AND c.b = e.b""",
+        ),
+        "lsh_co_raters": query(
             RATINGS, signatures("ratings", "user_id", "item_id", "sigs"), banded("sigs", "candidates"),
             moments("ratings", "item_id", "user_id", "m"),
             select="SELECT c.a, c.b FROM candidates c JOIN m ON m.a = c.a AND m.b = c.b",
@@ -296,12 +321,13 @@ FROM exact e JOIN item_candidates c ON c.a = e.a AND c.b = e.b""",
         "lsh_user_pearson": query(
             RATINGS, user_model("ratings", lsh=True), select="SELECT a AS u1, b AS u2, sim FROM user_model"
         ),
-        "lsh_recall": query(
+        "lsh_confirmed_recall": query(
             RATINGS, JACCARD, ITEM_LSH,
             select="""SELECT count(c.a) AS n_found, count(*) AS n_exact, round(count(c.a) / count(*), 6) AS recall
 FROM exact e LEFT JOIN item_candidates c ON c.a = e.a AND c.b = e.b""",
         ),
         "item_predict": item_predict,
+        "item_predict_from_file": item_predict,
         "user_predict": query(*user_ctes, select="SELECT * FROM user_predictions"),
         "item_predict_rmse": query(
             SPLIT, item_model("train"), item_predictions("train", "test"), select=rmse("item_predictions")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kindred.functions.hashing import numeric_id
+from kindred.functions.hashing import mix, numeric_id
 from kindred.operators.ratings import baskets
 
 
@@ -42,7 +42,7 @@ def write_average_map(averages: DataFrame, key: str, value: str, path: str, per_
     number = numeric_id(F.col(key), dict(averages.dtypes)[key])
     lines = F.greatest(F.ceil(averages.agg(F.count(F.lit(1))).scalar() / per_line), F.lit(1))
     entries = F.collect_list(F.struct(F.col(key).cast("string"), F.col(value)))
-    grouped = averages.groupBy(F.pmod(number, lines).alias("line")).agg(F.map_from_entries(entries).alias("averages"))
+    grouped = averages.groupBy((mix(number, F.lit(0)) % lines).alias("line")).agg(F.map_from_entries(entries).alias("averages"))
     grouped.select(F.to_json("averages").alias("value")).write.mode("overwrite").text(path)
 
 

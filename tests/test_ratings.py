@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from kindred.operators import ratings as R
 from kindred.operators.ids import dense_index
 
@@ -18,11 +20,25 @@ def test_long_basket_is_chunked_and_complete(rated):
     table = rated([(1, i, 1.0) for i in range(95)] + [(2, 5, 1.0)])
     rows = R.baskets(table, "user_id", "item_id", chunk_size=10).collect()
     hot = [r for r in rows if r["user_id"] == 1]
-    assert len(hot) == 10 and all(r["n_members"] == 95 and len(r["members"]) <= 10 for r in hot)
+    assert all(r["n_members"] == 95 and len(r["members"]) <= 25 for r in hot)
     assert sorted(m for r in hot for m in r["members"]) == list(range(95))
     assert [r["members"] for r in rows if r["user_id"] == 2] == [[5]]
 
 
+def test_chunks_stay_bounded_where_ids_have_a_stride(spark):
+    strided = spark.range(5000).select(F.lit(1).cast("bigint").alias("user_id"), (F.col("id") * 10).alias("item_id"), F.lit(1.0).alias("rating"))
+    sizes = [len(r["members"]) for r in R.baskets(strided, "user_id", "item_id", chunk_size=1000).collect()]
+    assert sum(sizes) == 5000 and max(sizes) <= 1200
+
+
+def test_split_does_not_follow_the_ids(rated):
+    """Users of one residue class are split like any others."""
+    table = rated([(u * 1000, i, 1.0) for u in range(60) for i in range(50)])
+    _, test = R.hash_split(table)
+    share = {r["item_id"]: r["count"] / 60 for r in test.groupBy("item_id").count().collect()}
+    assert len(share) == 50 and max(share.values()) < 0.5
+
+
 def test_liked_and_seeds(spark):
     rows = [("u", f"i{k}", 3.0) for k in range(40)] + [("v", "i1", 2.9), ("w", "i1", 5.0), ("w", "i1", 1.0)]
     liked = R.liked_items(reviews(spark, rows))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 import brute
 from kindred.operators import similarity as S
 from kindred.operators.evaluate import recall
-from kindred.operators.minhash import bucket_sizes, lsh_buckets, minhash_signatures, signature_rows
+from kindred.operators.minhash import bucket_sizes, lsh_buckets, lsh_candidates, minhash_signatures, signature_rows
 
 
 def pairs(df, a, b):
@@ -104,8 +104,36 @@ def test_recall_counts_what_lsh_found(rated):
 
 def test_identical_baskets_are_candidates_once(rated):
     rows = [(u, i, 1.0) for u in range(6) for i in (1, 2, 3)] + [(9, 77, 1.0), (10, 88, 1.0)]
-    got = sorted(map(tuple, S.lsh_candidates(rated(rows), "item_id", "user_id").collect()))
-    assert got == [(a, b) for a in range(6) for b in range(a + 1, 6)]
+    expected = [(a, b) for a in range(6) for b in range(a + 1, 6)]
+    assert sorted(map(tuple, S.lsh_co_raters(rated(rows), "item_id", "user_id").collect())) == expected
+    signatures = minhash_signatures(rated(rows).select("user_id", "item_id"), "user_id", "item_id")
+    assert sorted(map(tuple, lsh_candidates(signatures, "user_id", 2).collect())) == expected
+
+
+@pytest.mark.parametrize("width", [1, 2, 5])
+def test_search_finds_every_pair_that_shares_a_band(rated, width):
+    ratings = rated(brute.random_ratings(12, users=60, items=15, per_user=4))
+    signatures = minhash_signatures(ratings.select("user_id", "item_id"), "user_id", "item_id")
+    got = list(map(tuple, lsh_candidates(signatures, "user_id", width).collect()))
+    assert len(got) == len(set(got)) and set(got) == banded_pairs(signatures, "user_id", width)
+
+
+def test_models_of_searched_pairs_are_parts_of_the_exact_ones(rated):
+    ratings = rated(brute.random_ratings(13, users=50, items=25, per_user=7))
+    found, exact = S.user_similarity_search(ratings, 2), S.user_similarity(ratings, lsh=False)
+    assert found.exceptAll(exact).count() == 0 and found.count() > 0
+    found, exact = S.item_jaccard_search(ratings, 2), S.item_jaccard(ratings, lsh=False)
+    assert found.exceptAll(exact).count() == 0 and found.count() > 0
+
+
+def test_constant_series_have_no_correlation(spark):
+    """Sums of 200,000 values that no binary fraction represents leave residues far from zero."""
+    n = 200_000
+    table = spark.range(n).select(F.col("id").alias("user_id"), F.explode(F.array(F.lit(1).cast("bigint"), F.lit(2).cast("bigint"))).alias("item_id"))
+    ratings = table.withColumn("rating", (F.lit(9) + F.col("item_id")) / 3)
+    assert S.item_similarity(ratings).count() == 0
+    varied = ratings.withColumn("rating", F.when(F.col("user_id") % 2 == 0, F.col("rating")).otherwise(F.col("rating") + 1))
+    assert [tuple(r) for r in S.item_similarity(varied).collect()] == [(1, 2, 1.0)]
 
 
 def test_buckets_count_who_meets(rated):
