@@ -53,8 +53,9 @@ def judge(captures: DataFrame, intervals: DataFrame, url: str = "url", fetched:
     those added.
     """
     added = ["host", "n_active", "blocked", "entry", "category", "listed_at"]
-    kept = [F.col(f"`{c}`") for c in captures.columns if c not in added]
-    placed = captures.select(*kept, host_of(F.col(url)).alias("host"))
+    kept = [c for c in captures.columns if c not in added]
+    whole = F.struct(*[F.col(f"`{c}`") for c in kept], F.lit(0).alias("nothing else"))
+    placed = captures.select(whole.alias("capture"), host_of(F.col(url)).alias("host"), F.col(fetched).alias("fetched"))
     known = placed.where("host is not null").select("host").distinct().select("host", F.explode(suffixes(F.col("host"))).alias("entry"))
     lists = (
         known.join(intervals, "entry")
@@ -69,12 +70,12 @@ def judge(captures: DataFrame, intervals: DataFrame, url: str = "url", fetched:
             ).alias("intervals")
         )
     )
-    at = F.col(fetched)
+    at = F.col("fetched")
     active = F.filter("intervals", lambda x: (x["valid_from"] <= at) & (x["valid_to"].isNull() | (at < x["valid_to"])))
     tested = placed.join(lists, F.col("host") == F.col("of"), "left").withColumn("active", F.coalesce(active, F.array()))
     best = F.get("active", F.lit(0))
     return tested.select(
-        *kept, "host", F.size("active").cast("long").alias("n_active"), (F.size("active") > 0).alias("blocked"),
+        *[F.col("capture")[c].alias(c) for c in kept], "host", F.size("active").cast("long").alias("n_active"), (F.size("active") > 0).alias("blocked"),
         best["entry"].alias("entry"), best["category"].alias("category"), best["valid_from"].alias("listed_at"),
     )
 
