@@ -20,7 +20,8 @@ HEADLINE = (
     "ratings_utility user_avg rating_counts dense_ids seed_sample item_pearson user_pearson minhash_signatures "
     "lsh_verified_jaccard lsh_user_pearson item_predict user_predict friends_avg term_freq item_profile_top200 "
     "user_profile content_scores keyword_search vector_cosine_topn content_recommend hybrid_union "
-    "als_holdout als_recommend"
+    "als_holdout als_recommend co_rating_pairs lsh_candidates lsh_user_pearson_search lsh_recall item_predict_from_file "
+    "text_tfidf text_pipeline_w2v content_recommend_w2v hybrid_als"
 ).split()
 
 

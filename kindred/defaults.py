@@ -26,7 +26,8 @@ MAX_SEEDS = 5
 SIMILAR_PER_SEED = 15
 
 # Text features
-TOKEN_PATTERN = r"\w+"
+TOKEN_PATTERN = r"(?U)\w+"  # with accents; without (?U) the JVM knows ASCII letters only
+WORD_PARTITIONS = 8
 VECTOR_SIZE = 100
 MIN_COUNT = 5
 
@@ -38,6 +39,7 @@ ITERATIONS = 20
 REGULARISATION = 0.3
 GRID = (10, 15, 20)
 FOLDS = 5
+BLOCKS = 10
 TOP = 10
 
 # Hybrid list

@@ -369,8 +369,43 @@ def als_recommend(spark, sf):
 
 
 def als_cv(spark, sf):
+    """The grid, tuned on the training part, and the best model's error on the rest."""
     indexed, _, _ = _indexed(spark, sf)
-    return A.tuning_report(spark, A.tune_als(indexed))
+    train, test = R.hash_split(indexed)
+    tuned = A.tune_als(train)
+    held_out = E.rmse(A.predict_als(tuned.bestModel, test), test).first()["rmse"]
+    return A.tuning_report(spark, tuned).withColumn("test_rmse", F.when(F.col("best"), F.lit(held_out)))
+
+
+def als_user_details(spark, sf):
+    """The first user's recommendations with the items' details, best first."""
+    indexed, users, items = _indexed(spark, sf)
+    user = users.agg(F.min("user_id")).first()[0]
+    return A.recommendations_of(A.recommend_for(A.fit_als(indexed), users, items, user), T.item_details(spark, sf), user)
+
+
+def als_reload_agrees(spark, sf):
+    """How many hold-out pairs a saved and reloaded model predicts, and for how many it says what the factors say."""
+    indexed, _, _ = _indexed(spark, sf)
+    train, test = R.hash_split(indexed)
+    path = scratch_path(spark, "als-model")
+    model = A.fit_als(train)
+    model.write().overwrite().save(path)
+    of_user = model.userFactors.select(F.col("id").alias("user_index"), F.col("features").alias("u"))
+    of_item = model.itemFactors.select(F.col("id").alias("item_index"), F.col("features").alias("i"))
+    product = F.aggregate(F.zip_with("u", "i", lambda x, y: (x * y).cast("double")), F.lit(0.0), lambda a, x: a + x)
+    by_hand = test.join(of_user, "user_index").join(of_item, "item_index").select("user_id", "item_id", product.alias("product"))
+    found = A.predict_als(ALSModel.load(path), test).join(by_hand, ["user_id", "item_id"], "full")
+    return found.agg(F.count(F.lit(1)).alias("n_pairs"), F.count(F.when(F.abs(F.col("stars") - F.col("product")) < 1e-4, 1)).alias("n_agree"))
+
+
+def text_tfidf(spark, sf):
+    """Word weights of the fitted text pipeline with a stopword file, per item."""
+    path = scratch_path(spark, "stopwords")
+    _stopwords(spark).select("word").write.text(path)
+    stopwords = [r["word"] for r in IO.read_stopwords(spark, path).collect()]
+    features = TextFeatures.fit(T.reviews(spark, sf), stopwords=stopwords)
+    return features.tfidf().withColumn("tfidf", F.round("tfidf", 6))
 
 
 def text_pipeline_w2v(spark, sf):
@@ -389,7 +424,7 @@ def text_pipeline_w2v(spark, sf):
 def content_recommend_w2v(spark, sf):
     """Content recommendations from the word vectors of the review texts."""
     reviews = T.reviews(spark, sf)
-    features = TextFeatures.fit(reviews).transform(reviews)
+    features = TextFeatures.fit(reviews).transform()
     vectors = materialize(features.select("item_id", vector_to_array("word_vector").alias("vector")), "word-vectors")
     return _rank(C.content_recommendations(reviews, vectors))
 
@@ -458,6 +493,9 @@ def queries() -> dict[str, Query]:
         "als_holdout": als_holdout,
         "als_recommend": als_recommend,
         "als_cv": als_cv,
+        "als_user_details": als_user_details,
+        "als_reload_agrees": als_reload_agrees,
+        "text_tfidf": text_tfidf,
         "text_pipeline_w2v": text_pipeline_w2v,
         "content_recommend_w2v": content_recommend_w2v,
         "hybrid_als": hybrid_als,

@@ -328,6 +328,22 @@ FROM exact e LEFT JOIN item_candidates c ON c.a = e.a AND c.b = e.b""",
         ),
         "item_predict": item_predict,
         "item_predict_from_file": item_predict,
+        "als_reload_agrees": query(
+            SPLIT,
+            select="""SELECT count(*) AS n_pairs, count(*) AS n_agree FROM test
+WHERE user_id IN (SELECT user_id FROM train) AND item_id IN (SELECT item_id FROM train)""",
+        ),
+        "text_tfidf": query(
+            REVIEWS,
+            """words AS (
+  SELECT item_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{M}\\p{N}_]+')) AS word FROM reviews)""",
+            f"""counts AS (
+  SELECT item_id, word, count(*) AS n FROM words WHERE word NOT IN ({STOP_LIST}) GROUP BY item_id, word)""",
+            "found AS (SELECT word, count(*) AS df FROM counts GROUP BY word)",
+            select="""SELECT c.item_id, c.word,
+       round(n * ln((1.0 + (SELECT count(DISTINCT item_id) FROM counts)) / (1.0 + df)), 6) AS tfidf
+FROM counts c JOIN found f ON f.word = c.word""",
+        ),
         "user_predict": query(*user_ctes, select="SELECT * FROM user_predictions"),
         "item_predict_rmse": query(
             SPLIT, item_model("train"), item_predictions("train", "test"), select=rmse("item_predictions")

@@ -65,13 +65,6 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def task_count(spark: SparkSession) -> int:
-    """How many tasks to cut iterative training into: the shuffle partitions, on one machine at most its cores."""
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    context = spark.sparkContext
-    return min(partitions, context.defaultParallelism) if context.master.startswith("local") else partitions
-
-
 def spread(df: DataFrame) -> DataFrame:
     """Use all cores for an input of fewer splits than there are cores, such as one small file.
 
