@@ -17,8 +17,10 @@ from __future__ import annotations
 import base64
 import bisect
 import heapq
+import json
 import zlib
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -39,26 +41,29 @@ CHUNK = 256
 RANK_BITS = 40
 
 
+@lru_cache(maxsize=1)
 def byte_bpe(vocabulary: str = "byte_bpe_50k.json", ranks: str = "byte_bpe_50k.tiktoken") -> Callable[[list[str]], list[np.ndarray]]:
     """An encoder of texts to ids of a byte-level BPE, without special tokens added.
 
     ``ranks`` holds the vocabulary of the tokenizers file ``vocabulary`` for the library tiktoken, which gives the
     same ids five times as fast (tests compare them over all code points). Texts that spell a special token,
-    which ``tokenizers`` turns into its id, go to ``tokenizers`` itself.
+    which ``tokenizers`` turns into its id, go to ``tokenizers`` itself, which is loaded when one comes. A worker keeps
+    one encoder for all its tasks.
     """
     import public_tokenizers
     import tiktoken
     from tokenizers import Tokenizer
 
-    exact = Tokenizer.from_file(public_tokenizers.path(vocabulary))
-    special = [t.content for t in exact.get_added_tokens_decoder().values()]
+    with open(public_tokenizers.path(vocabulary), encoding="utf-8") as file:
+        special = [t["content"] for t in json.load(file)["added_tokens"]]
+    exact = lru_cache(maxsize=1)(lambda: Tokenizer.from_file(public_tokenizers.path(vocabulary)))
     with open(public_tokenizers.path(ranks), "rb") as lines:
         merges = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
     fast = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=merges, special_tokens={})
 
     def encode(texts: list[str]) -> list[np.ndarray]:
         return [
-            np.asarray(exact.encode(text, add_special_tokens=False).ids if any(s in text for s in special) else fast.encode_ordinary(text), dtype="<u4")
+            np.asarray(exact().encode(text, add_special_tokens=False).ids if any(s in text for s in special) else fast.encode_ordinary(text), dtype="<u4")
             for text in texts
         ]
 

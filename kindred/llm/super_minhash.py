@@ -39,8 +39,9 @@ SIMILARITY = 80
 SHINGLE_WORDS = 5
 #: Members of a bucket up to which all its pairs in different components are compared.
 SMALL_BUCKET = 16
-#: Elements of a set handled at a time.
-BLOCK = 8192
+#: Elements of a set, and texts, handled at a time within a task.
+BLOCK = 4096
+CHUNK = 256
 
 _U = np.uint64
 _SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
@@ -115,11 +116,17 @@ def band_keys(values: np.ndarray, rows: int) -> np.ndarray:
     return key.view(np.int64)
 
 
+def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for low in range(0, batch.num_rows, CHUNK):
+            yield batch.slice(low, CHUNK)
+
+
 def sketches(docs: DataFrame, width: int, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, text_hash, n_shingles, set_key, keys of (doc_id, text, text_hash); the last two null for an empty set."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             size, digest, keys = [], [], []
             for text in batch.column(1).to_pylist():
                 found = shingles(text, width)
@@ -139,7 +146,7 @@ def full_sets(rows: DataFrame, width: int) -> DataFrame:
     """node and elements (sorted hashes of all shingles) of rows (node, text)."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             sets = [shingles(text, width).view(np.int64) for text in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "elements"])
 
