@@ -211,6 +211,10 @@ def tokens(spark, sf):
     return X.tokenize(T.reviews(spark, sf), _stopwords(spark))
 
 
+def term_counts_without_digits(spark, sf):
+    return X.term_counts(X.tokenize(T.reviews(spark, sf), _stopwords(spark), keep=("item_id",), remove_digits=True))
+
+
 def _counts(spark, sf) -> DataFrame:
     return X.term_counts(X.tokenize(T.reviews(spark, sf), _stopwords(spark), keep=("item_id",)))
 
@@ -471,6 +475,7 @@ def queries() -> dict[str, Query]:
         "user_predict_rmse": user_predict_rmse,
         "friends_avg": friends_avg,
         "tokens": tokens,
+        "term_counts_without_digits": term_counts_without_digits,
         "term_freq": term_freq,
         "doc_freq_idf": doc_freq_idf,
         "rare_words": rare_words,

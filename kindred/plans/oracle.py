@@ -156,14 +156,14 @@ SPACES = " || ".join(f"chr({c})" for c in WHITESPACE)
 STOP_LIST = ", ".join(text_literal(w) for w in STOPWORDS)
 
 
-def token_rows(source: str, keep: str, name: str, stop: bool = True) -> str:
+def token_rows(source: str, keep: str, name: str, stop: bool = True, text: str = "text") -> str:
     pattern = PUNCTUATION.replace("'", "''")
     dropped = f"AND word NOT IN ({STOP_LIST})" if stop else ""
     columns = f"{keep}, " if keep else ""
     return f"""{name} AS (
   SELECT {columns}word FROM (
     SELECT {columns}lower(trim(raw, {SPACES})) AS word FROM (
-      SELECT {columns}unnest(string_split(replace(regexp_replace(text, '{pattern}', '', 'g'), chr(10), ' '), ' ')) AS raw
+      SELECT {columns}unnest(string_split(replace(regexp_replace({text}, '{pattern}', '', 'g'), chr(10), ' '), ' ')) AS raw
       FROM {source}))
   WHERE length(word) >= 2 AND NOT regexp_matches(word, '^\\p{{N}}+$') {dropped})"""
 
@@ -359,6 +359,11 @@ FROM counts c JOIN found f ON f.word = c.word""",
 FROM test t JOIN friends f ON f.user_id = t.user_id
 JOIN train r ON r.user_id = f.friend_id AND r.item_id = t.item_id GROUP BY t.user_id, t.item_id""",
         ),
+        "term_counts_without_digits": query(
+            REVIEWS,
+            token_rows("reviews", "item_id", "tokens", text=r"regexp_replace(text, '\p{Nd}', '', 'g')"),
+            select="SELECT item_id, word, count(*) AS n FROM tokens GROUP BY item_id, word",
+        ),
         "tokens": query(TOKENS, select="SELECT user_id, item_id, word FROM tokens"),
         "term_freq": query(
             COUNTS,
