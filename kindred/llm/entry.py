@@ -25,13 +25,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
+    """SQL where it can say the whole result; the other queries are tested against brute force."""
     return {
-        "op1_pii_surrogates": pii.op1_pii_surrogates,
-        "op2_recurrent_lm": recurrent_lm.op2_recurrent_lm,
-        "op3_url_filters": url_filters.op3_url_filters,
-        "op4_token_counts": token_counts.op4_token_counts,
-        "op5_language_id": language_id.op5_language_id,
-        "op6_best_fit_packing": packing.op6_best_fit_packing,
         "op3_url_filters": url_filters.ORACLE,
         "op4_token_counts": token_counts.ORACLE,
         "op7_exact_dedup": exact_dedup.ORACLE,
