@@ -30,4 +30,5 @@ def oracle_sql() -> dict[str, str]:
         "op3_url_filters": url_filters.ORACLE,
         "op4_token_counts": token_counts.ORACLE,
         "op7_exact_dedup": exact_dedup.ORACLE,
+        "op10_super_minhash": super_minhash.ORACLE,
     }

@@ -301,3 +301,30 @@ def unlike_documents(docs: DataFrame, width: int = SHINGLE_WORDS) -> DataFrame:
 def op10_super_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicates among all documents: sets of two-word shingles, similarity 0.8."""
     return near_duplicates(table(spark, sf_dir, "documents"), width=2).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+ORACLE = r"""
+WITH RECURSIVE worded AS (
+  SELECT doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), shingled AS (
+  SELECT DISTINCT doc_id, w[i] || ' ' || w[i + 1] AS s
+  FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 1)) AS i FROM worded WHERE len(w) > 1)
+  UNION ALL SELECT doc_id, w[1] FROM worded WHERE len(w) = 1
+), sized AS (
+  SELECT *, count(*) OVER (PARTITION BY doc_id) AS n FROM shingled
+), links AS (
+  SELECT x.doc_id AS a, y.doc_id AS b FROM sized x JOIN sized y
+    ON x.s = y.s AND x.doc_id < y.doc_id AND 100 * least(x.n, y.n) >= 80 * greatest(x.n, y.n)
+  GROUP BY x.doc_id, y.doc_id, x.n, y.n HAVING 100 * count(*) >= 80 * (x.n + y.n - count(*))
+), arcs AS (
+  SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reach AS (
+  SELECT doc_id AS a, doc_id AS b FROM documents
+  UNION SELECT r.a, l.b FROM reach r JOIN arcs l ON l.a = r.b
+), component AS (SELECT a, min(b) AS id FROM reach GROUP BY a),
+counted AS (SELECT doc_id, count(*) AS n FROM shingled GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, c.id AS component_id, d.doc_id = c.id AS kept
+FROM documents d JOIN component c ON c.a = d.doc_id LEFT JOIN counted t ON t.doc_id = d.doc_id
+"""
