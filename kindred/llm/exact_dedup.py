@@ -103,16 +103,19 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
         .agg(F.min(order).alias("best"), F.count("*").alias("size"))
         .select(F.col("class_id").alias("of"), "best", "size")
     )
-    member = rows.join(classes.hint("merge"), F.col("class_id") == F.col("of"), "left")
-    unique = F.col("class_id").isNull()
-    return member.select(
+    # Unique rows, which have no class, stay out of the join: as nulls they would all meet in one task.
+    unique = rows.where("class_id is null").select(
+        "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256", "text_hash"
+    )
+    members = rows.join(classes.hint("merge"), F.col("class_id") == F.col("of")).select(
         "doc_id",
-        F.when(unique, F.col("doc_id")).otherwise(F.col("best.keep_id")).alias("keep_id"),
-        F.when(unique, F.lit(1)).otherwise(F.col("size")).cast("long").alias("group_size"),
-        (unique | (F.col("row_id") == F.col("best.row_id"))).alias("kept"),
+        F.col("best.keep_id").alias("keep_id"),
+        F.col("size").alias("group_size"),
+        (F.col("row_id") == F.col("best.row_id")).alias("kept"),
         "text_sha256",
         "text_hash",
     )
+    return unique.unionByName(members)
 
 
 def unique_documents(docs: DataFrame) -> DataFrame:
