@@ -6,6 +6,9 @@ poured into the format found: digits for digits, letters for letters of the same
 person's number written in two ways stays one number, in every document, and without the key nothing leads back.
 Names are built from syllables of the name's script with an ending of its gender; card numbers keep a valid check digit.
 
+A given name or surname has one gender in the whole table, so that a person is called the same after any title: the
+one it occurs with, or none if it occurs with both. A Latin surname has no gender.
+
 Distinct entities must stay distinct and must not become another real entity. Only the distinct entities, not
 their occurrences, are shuffled to find surrogates that clash, by a dictionary join; those entities draw again until
 none clashes. Almost all keep their first draw, which tasks compute where the text is; texts move only if they
@@ -174,7 +177,8 @@ def name_parts(raw: Column) -> Column:
     def part(w: Column, i: Column) -> Column:
         role = F.when(titled & (i == 0), F.lit("title")).when(i == F.size(words) - 1, F.lit("surname")).otherwise(F.lit("given"))
         script = F.when(w.rlike(r"\p{IsCyrillic}"), F.lit("cyrillic")).otherwise(F.lit("latin"))
-        return F.struct(w.alias("part"), role.alias("role"), gender.alias("gender"), script.alias("script"))
+        own = F.when((role == "surname") & (script == "latin"), F.lit("x")).otherwise(gender)
+        return F.struct(w.alias("part"), role.alias("role"), own.alias("gender"), script.alias("script"))
 
     return F.transform(words, part)
 
@@ -230,7 +234,7 @@ def _of_key(key: Column, draw: Column, secret: str) -> Column:
 def redraws(entities: DataFrame, key: str = KEY) -> DataFrame:
     """(kind, normal, draw) of the entities whose first surrogate clashes, with the draw that does not.
 
-    ``entities`` holds distinct (kind, normal, e), e being the entry. A surrogate clashes if it is another entity of
+    ``entities`` holds distinct (kind, normal, e), e being the entry with the gender in which it is written everywhere. A surrogate clashes if it is another entity of
     the table or another entity's surrogate; of those that share one, the smallest normal form keeps it.
     """
     real = entities.select(F.col("kind").alias("real_kind"), F.col("normal").alias("real"))
@@ -265,10 +269,16 @@ def pseudonymise(docs: DataFrame, key: str = KEY, doc_id: str = "doc_id", text:
     distinct = distinct.select(F.explode(normalised(F.array("entity"))).alias("entity"))
     entries = distinct.select(F.explode(_keys(F.col("entity"))).alias("e"))
     found = found.withColumn("kinds", typed(F.col("matches"))).withColumn("found", normalised(F.col("kinds")))
-    entities = materialize(
-        entries.groupBy(F.col("e.kind").alias("kind"), F.col("e.normal").alias("normal")).agg(F.min("e").alias("e")), "entities"
-    )
-    again = redraws(entities, key)
+    genders = entries.groupBy(F.col("e.kind").alias("kind"), F.col("e.normal").alias("normal")).agg(F.min("e").alias("e"), F.collect_set("e.gender").alias("genders"))
+    known = F.array_remove("genders", "x")
+    settled = genders.withColumn("e", F.col("e").withField("gender", F.when(F.size(known) == 1, known[0]).otherwise("x")))
+    entities = materialize(settled.withColumn("mixed", F.size("genders") > 1), "entities")
+    drawn = redraws(entities.drop("mixed"), key)
+    # What a text does not know by itself: another draw than the first, or the gender of a name met with several.
+    again = (
+        entities.join(drawn, ["kind", "normal"], "left").where("mixed or draw is not null")
+        .select("kind", "normal", F.struct(F.coalesce("draw", F.lit(0)).alias("draw"), F.col("e.gender").alias("gender")).alias("said"))
+    )
     if again.head(1):
         row_key = ["id", "hash"]
         marked = found.withColumns({"id": F.col("doc_id"), "hash": F.xxhash64("text")})
@@ -276,22 +286,29 @@ def pseudonymise(docs: DataFrame, key: str = KEY, doc_id: str = "doc_id", text:
             marked.where(F.size("found") > 0).select(*row_key, F.explode("found").alias("entity")).distinct()
             .select(*row_key, F.explode(_keys(F.col("entity"))).alias("e"))
             .join(again, (F.col("e.kind") == F.col("kind")) & (F.col("e.normal") == F.col("normal")))
-            .groupBy(*row_key).agg(F.map_from_entries(F.collect_set(F.struct(F.concat_ws("|", "kind", "normal"), "draw"))).alias("draws"))
+            .where((F.col("said.draw") > 0) | (F.col("said.gender") != F.col("e.gender")))
+            .groupBy(*row_key).agg(F.map_from_entries(F.collect_set(F.struct(F.concat_ws("|", "kind", "normal"), "said"))).alias("draws"))
             .select(F.col("id").alias("of"), F.col("hash").alias("of_hash"), "draws")
         )
         found = marked.join(need, (F.col("hash") == F.col("of_hash")) & F.col("id").eqNullSafe(F.col("of")), "left")
     else:
-        found = found.withColumn("draws", F.lit(None).cast("map<string,int>"))
+        found = found.withColumn("draws", F.lit(None).cast("map<string,struct<draw:int,gender:string>>"))
 
     def replaced(entity: Column) -> Column:
         raw, kind, normal = entity["raw"], entity["kind"], entity["normal"]
 
+        def said(kind: Column, normal: Column) -> Column:
+            return F.try_element_at("draws", F.concat_ws("|", kind, normal))
+
         def draw_of(kind: Column, normal: Column) -> Column:
-            return F.coalesce(F.try_element_at("draws", F.concat_ws("|", kind, normal)), F.lit(0))
+            return F.coalesce(said(kind, normal)["draw"], F.lit(0))
+
+        def settled(p: Column) -> Column:
+            return p.withField("gender", F.coalesce(said(p["role"], F.lower(p["part"]))["gender"], p["gender"]))
 
         name = F.array_join(
             F.transform(
-                name_parts(raw), lambda p: F.when(p["role"] == "title", p["part"]).otherwise(name_surrogate(p, draw_of(p["role"], F.lower(p["part"])), key))
+                name_parts(raw), lambda p: F.when(p["role"] == "title", p["part"]).otherwise(name_surrogate(settled(p), draw_of(p["role"], F.lower(p["part"])), key))
             ),
             " ",
         )
