@@ -6,7 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kindred.llm import exact_dedup, language_id, mixing, packing, pii, quality_rules, recurrent_lm, super_minhash, token_counts, url_filters
+from kindred.llm import (
+    exact_dedup,
+    language_id,
+    learned_partitions,
+    mixing,
+    packing,
+    pii,
+    prefix_trie,
+    quality_rules,
+    recurrent_lm,
+    spelling_variants,
+    super_minhash,
+    token_counts,
+    url_filters,
+)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +35,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_source_mixing": mixing.op8_source_mixing,
         "op9_quality_rules": quality_rules.op9_quality_rules,
         "op10_super_minhash": super_minhash.op10_super_minhash,
+        "op11_spelling_variants": spelling_variants.op11_spelling_variants,
+        "op12_prefix_trie": prefix_trie.op12_prefix_trie,
+        "op13_learned_partitions": learned_partitions.op13_learned_partitions,
     }
 
 
@@ -31,4 +48,6 @@ def oracle_sql() -> dict[str, str]:
         "op4_token_counts": token_counts.ORACLE,
         "op7_exact_dedup": exact_dedup.ORACLE,
         "op10_super_minhash": super_minhash.ORACLE,
+        "op11_spelling_variants": spelling_variants.ORACLE,
+        "op12_prefix_trie": prefix_trie.ORACLE,
     }

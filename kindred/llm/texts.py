@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from kindred.session import materialize
 
-__all__ = ["DOCUMENT", "SPACE", "WORD", "held_out", "keep_rows", "materialize", "text_hash", "table", "text_or_empty", "words"]
+__all__ = ["CRC_TABLE", "DOCUMENT", "SPACE", "WORD", "crc32_sql", "held_out", "keep_rows", "materialize", "text_hash", "table", "text_or_empty", "words"]
 
 #: Columns of the table ``documents``.
 DOCUMENT = ("doc_id", "text", "lang", "source", "n_chars")
@@ -17,6 +17,17 @@ SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: DuckDB SQL of the 256 remainders that a byte-wise crc32 looks up, from its polynomial.
+CRC_TABLE = "list_transform(range(256), lambda n: list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c % 2 = 1 THEN xor(3988292384, c // 2) ELSE c // 2 END))"
+
+
+def crc32_sql(text: str, steps: str) -> str:
+    """DuckDB SQL of the unsigned crc32 of a text's UTF-8 bytes; ``steps`` is a column that holds ``CRC_TABLE``."""
+    code = f"hex({text})"
+    byte = f"list_transform(range(0, length({code}), 2), lambda i: 16 * (strpos('0123456789ABCDEF', substr({code}, i + 1, 1)) - 1) + strpos('0123456789ABCDEF', substr({code}, i + 2, 1)) - 1)"
+    return f"xor(list_reduce([4294967295] || {byte}, lambda c, b: xor(c // 256, {steps}[xor(c, b) % 256 + 1])), 4294967295)"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
