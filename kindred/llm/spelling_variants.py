@@ -206,26 +206,18 @@ def neighbours(words: DataFrame, cells: int = LIST_CELLS) -> DataFrame:
 def roots(forms: DataFrame) -> DataFrame:
     """(word, root) of rows (word, form): the last form on the way from each word; a word that has no row is an end.
 
-    Each round doubles the length of the steps. Counts at least double from word to form, so ways have at most as many
-    steps as the largest count has bits. Words that arrived stay out of the joins.
+    Each round doubles the length of all steps that have not come to an end. Counts at least double from word to form, so a
+    way has at most as many steps as the largest count has bits. Steps at their end, which may share a frequent root, are
+    looked up by others and stay out of the joins themselves.
     """
-    steps = materialize(forms.select("word", F.col("form").alias("to")), "steps")
-    arrived = None
-    while True:
-        onward = steps.select(F.col("word").alias("at"), F.col("to").alias("next"))
-        moved = materialize(steps.join(onward.hint("merge"), F.col("to") == F.col("at"), "left").select("word", "to", "next"), "moved")
-        ended = moved.where("next is null").select("word", F.col("to").alias("root"))
-        arrived = ended if arrived is None else arrived.unionByName(ended)
-        rest = moved.where("next is not null")
-        if not rest.head(1):
-            return arrived
-        # The next word may itself have arrived; the words known by now say where.
-        ends = arrived.select(F.col("word").alias("at"), "root")
-        known = materialize(rest.join(ends.hint("merge"), F.col("next") == F.col("at"), "left").select("word", "next", "root"), "known")
-        arrived = arrived.unionByName(known.where("root is not null").select("word", "root"))
-        steps = known.where("root is null").select("word", F.col("next").alias("to"))
-        if not steps.head(1):
-            return arrived
+    onward = forms.select(F.col("word").alias("at"))
+    steps = forms.select("word", F.col("form").alias("to")).join(onward.hint("merge"), F.col("to") == F.col("at"), "left")
+    steps = materialize(steps.select("word", "to", F.col("at").isNotNull().alias("open")), "steps")
+    while steps.where("open").head(1):
+        further = steps.select(F.col("word").alias("at"), F.col("to").alias("next"), F.col("open").alias("still"))
+        moved = steps.where("open").select("word", "to").join(further.hint("merge"), F.col("to") == F.col("at"))
+        steps = materialize(steps.where("not open").unionByName(moved.select("word", F.col("next").alias("to"), F.col("still").alias("open"))), "steps")
+    return steps.select("word", F.col("to").alias("root"))
 
 
 def group_variants(words: DataFrame, times: int = TIMES, cells: int = LIST_CELLS) -> DataFrame:

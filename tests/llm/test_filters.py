@@ -1,5 +1,6 @@
 """Quality rules, languages, personal data, URL lists and token counts."""
 
+import hashlib
 import re
 from collections import Counter
 from datetime import datetime
@@ -168,13 +169,45 @@ def test_batches_commit_once_and_broken_ones_do_not_count(spark, tmp_path):
     assert rollup.commit("first", first) and not rollup.commit("first", first)
     second = frame([(1, "t", 0, "revise", "s2", "en", 4), (2, "t", 0, "delete", None, None, None), (9, "t", 0, "delete", "s", "en", 3), (4, "u", 0, "revise", "s", "en", 2), (5, "t", 0, "noise", "s", "en", 2)])
     # A batch that broke off before its mark.
-    second.write.parquet(f"file://{tmp_path}/rollup/log/000000002-second")
-    second.limit(0).write.parquet(f"file://{tmp_path}/rollup/deltas/000000002-second")
-    (tmp_path / "rollup/deltas/000000002-second/_SUCCESS").unlink()
+    folder = "000000002-" + hashlib.sha256(b"second").hexdigest()
+    second.write.parquet(f"file://{tmp_path}/rollup/log/{folder}")
+    second.limit(0).write.parquet(f"file://{tmp_path}/rollup/deltas/{folder}")
     assert rollup.commit("second", second) and not T.TokenRollup(spark, f"file://{tmp_path}/rollup").commit("second", first)
     got = {(r["source"], r["lang"], r["tokenizer"]): (r["n_docs"], r["n_tokens"]) for r in rollup.totals().collect()}
     assert got == {("s2", "en", "t"): (1, 4), (None, None, "t"): (1, 0), ("s", "de", "t"): (1, 7), ("s", "en", "u"): (1, 2)}
     assert rollup.commit("empty", frame([])) and rollup.totals().count() == 4
+    # Compacted, the state is the same and further batches count against it.
+    rollup.compact()
+    assert {(r["source"], r["lang"], r["tokenizer"]): (r["n_docs"], r["n_tokens"]) for r in rollup.totals().collect()} == got
+    assert len(rollup._state()[1]) == len(rollup._state()[2]) == 1 and not rollup.commit("first", first)
+    assert rollup.commit("third", frame([(1, "t", 0, "delete", None, None, None), (4, "u", 0, "revise", "s", "en", 9)]))
+    third = {(r["source"], r["lang"], r["tokenizer"]): (r["n_docs"], r["n_tokens"]) for r in rollup.totals().collect()}
+    assert third == {(None, None, "t"): (1, 0), ("s", "de", "t"): (1, 7), ("s", "en", "u"): (1, 9)}
+
+
+@pytest.mark.parametrize("name", ["2026/12/01", "a b%20c", "", "..", "x" * 400, "ä:*?"])
+def test_any_text_names_a_batch(spark, tmp_path, name):
+    """Also where Spark writes no mark of its own."""
+    hadoop, key = spark._jsc.hadoopConfiguration(), "mapreduce.fileoutputcommitter.marksuccessfuljobs"
+    rollup = T.TokenRollup(spark, f"file://{tmp_path}/rollup")
+    rows = spark.createDataFrame([(1, "t", 0, "insert", "s", "en", 10)], "doc_id long, tokenizer string, seq int, op string, source string, lang string, n_tokens long")
+    hadoop.set(key, "false")
+    try:
+        assert rollup.commit(name, rows) and not rollup.commit(name, rows) and rollup.commit(name + "/", rows)
+    finally:
+        hadoop.unset(key)
+    assert [tuple(r) for r in rollup.totals().collect()] == [("s", "en", "t", 1, 10)]
+
+
+def test_a_batch_reads_the_buckets_of_its_documents(spark, tmp_path):
+    rollup = T.TokenRollup(spark, f"file://{tmp_path}/rollup", buckets=16)
+    schema = "doc_id long, tokenizer string, seq int, op string, source string, lang string, n_tokens long"
+    rollup.commit("all", spark.createDataFrame([(k, "t", 0, "insert", "s", "en", k) for k in range(200)], schema))
+    log = rollup._read(rollup._state()[2], rollup.log_schema).where(F.col("bucket").isin([3]))
+    assert len(log.inputFiles()) == 16 and 0 < log.count() < 40
+    assert re.search(r"PartitionFilters: \[[^\]]*bucket", log._jdf.queryExecution().toString())
+    rollup.commit("one", spark.createDataFrame([(7, "t", 0, "revise", "s", "en", 1000)], schema))
+    assert rollup.totals().first()["n_tokens"] == sum(range(200)) - 7 + 1000
 
 
 @pytest.mark.parametrize("text", ["a" * 200_000, "1" * 200_000, "a." * 100_000, "A" * 100_000 + "@"])

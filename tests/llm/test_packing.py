@@ -60,3 +60,27 @@ def test_pieces_and_sequences(odd):
 
 def test_no_documents(documents):
     assert P.pack(P.pieces(documents([]))).count() == 0
+
+
+@pytest.mark.parametrize("blank", [" ", "\n"])
+def test_long_white_space_is_packed(spark, documents, blank):
+    """tiktoken overflows its stack on a million blanks; such texts take the other way and keep all others."""
+    exact = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["a short text", blank * 2_000_000, "before " + blank * 1_000_000 + " after", None]
+    got = P.pack(P.pieces(documents(list(enumerate(texts))), keep_ids=True)).groupBy("doc_id").sum("length").collect()
+    want = {k: len(exact.encode(t or "", add_special_tokens=False).ids) + 1 for k, t in enumerate(texts)}
+    assert {r["doc_id"]: r["sum(length)"] for r in got} == want
+
+
+def test_a_panic_of_the_fast_encoder_is_survived(monkeypatch):
+    import tiktoken
+
+    class Panic(BaseException):
+        pass
+
+    def fails(self, text):
+        raise Panic(text)
+
+    monkeypatch.setattr(tiktoken.Encoding, "encode_ordinary", fails)
+    exact = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    assert P.byte_bpe.__wrapped__()(["some text"])[0].tolist() == exact.encode("some text", add_special_tokens=False).ids
