@@ -12,6 +12,7 @@ USER_NEIGHBOURS = 100
 # MinHash
 NUM_HASHES = 50
 HASH_SEED = 10000
+SEARCH_RECALL = 0.9
 
 # Word profiles
 PROFILE_WORDS = 200

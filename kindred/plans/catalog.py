@@ -19,8 +19,9 @@ from kindred.operators import predict as P
 from kindred.operators import ratings as R
 from kindred.operators import similarity as S
 from kindred.operators import text as X
-from kindred.operators.features import TextFeatures
+from kindred.operators.features import TextFeatures, WordWeights, cleaner, words_of
 from kindred.operators.ids import dense_index, with_index
+from kindred.operators.vector_index import VectorIndex
 from kindred.operators.vectors import similar_items
 from kindred.plans import tables as T
 from kindred.session import materialize, scratch_path
@@ -34,8 +35,10 @@ STOPWORDS = (
     "de la le les des et un une en que el los las y der die das und den von"
 ).split()
 SEARCH_TEXT = "Thatin, threen ononst: hetition & the ereden 42 achte!"
-# Rows per band of the LSH search: 25 bands of two rows.
+# Rows per band of the registered candidates: 25 bands of two rows.
 LSH_ROWS = 2
+# The bands that find item pairs, and user pairs above the same similarity, with the default recall.
+LSH_PLAN = M.plan_bands(D.MIN_JACCARD_ITEMS)
 RARE_SHARE = 1e-5
 
 
@@ -164,13 +167,26 @@ def lsh_user_pearson(spark, sf):
 
 
 def lsh_user_pearson_search(spark, sf):
-    return S.user_similarity_search(_ratings(spark, sf), LSH_ROWS)
+    """The user model by search; at its low threshold no search of 50 functions pays, and it is the exact one."""
+    return S.user_similarity_search(_ratings(spark, sf))
 
 
-def lsh_recall(spark, sf):
-    """What the search finds of all pairs above the threshold."""
-    ratings = _ratings(spark, sf)
-    return E.recall(S.item_jaccard_search(ratings, LSH_ROWS), S.item_jaccard(ratings, lsh=False), "b1", "b2")
+def _lsh_recall(entity: str, member: str) -> Query:
+    """Share of the pairs above the threshold that the planned bands find, and what finding them costs: the pairs in
+    buckets beside those of an exact join."""
+
+    def query(spark, sf):
+        baskets = _ratings(spark, sf).select(entity, member)
+        profiles = M.minhash_signatures(baskets, entity, member, hashes=LSH_PLAN.rows * LSH_PLAN.bands)
+        profiles = materialize(profiles, "signatures")
+        exact = S.jaccard_pairs(baskets, entity, member, D.MIN_JACCARD_ITEMS)
+        found = E.recall(M.lsh_candidates(profiles, entity, LSH_PLAN.rows), exact, "a", "b")
+        n = F.count(F.lit(1))
+        met = lambda rows, key: rows.groupBy(*key).agg((n * (n - 1) / 2).cast("bigint").alias("n")).agg(F.sum("n"))
+        in_buckets = met(M.lsh_buckets(profiles, entity, LSH_PLAN.rows), ["band", "bucket"]).scalar()
+        return found.withColumns({"n_bucket_pairs": in_buckets, "n_join_pairs": met(baskets, [member]).scalar()})
+
+    return query
 
 
 def lsh_confirmed_recall(spark, sf):
@@ -388,6 +404,49 @@ def als_user_details(spark, sf):
     return A.recommendations_of(A.recommend_for(A.fit_als(indexed), users, items, user), T.item_details(spark, sf), user)
 
 
+def als_recommend_agrees(spark, sf):
+    """Recommendations of the norm-ordered search beside those of the model's own search over all items.
+
+    Per user: whether both have as many items, none twice, and the same ratings at the same ranks.
+    """
+    indexed, users, items = _indexed(spark, sf)
+    model = A.fit_als(indexed)
+    mine = A.recommend_all(model, users, items).groupBy("user_id").agg(
+        F.sort_array(F.collect_list("rating"), asc=False).alias("mine"), F.countDistinct("item_id").alias("n_items")
+    )
+    own = model.recommendForAllUsers(D.TOP).join(users, "user_index").select("user_id", F.transform("recommendations", lambda r: r["rating"].cast("double")).alias("own"))
+    both = mine.join(own, "user_id", "full")
+    near = F.forall(F.zip_with("mine", "own", lambda x, y: F.abs(x - y) < 1e-4), lambda same: same)
+    agree = near & (F.size("mine") == F.size("own")) & (F.col("n_items") == F.size("mine"))
+    return both.agg(
+        F.count(F.lit(1)).alias("n_users"), F.sum(F.size("mine")).alias("n_rows"), F.count(F.when(agree, 1)).alias("n_agree")
+    )
+
+
+def als_details_agree(spark, sf):
+    """The first user's recommendations with details: their number, different items, whether best first, known names."""
+    shown = als_user_details(spark, sf).withColumn("at", F.monotonically_increasing_id())
+    listed = shown.agg(F.sort_array(F.collect_list(F.struct("at", "rating"))).alias("rows"), F.countDistinct("item_id").alias("n_items"), F.first("user_id").alias("user_id"), F.collect_list(F.struct("item_id", "name")).alias("named"))
+    ratings = F.col("rows.rating")
+    named = listed.select(F.explode("named").alias("n")).select("n.item_id", "n.name").join(T.item_details(spark, sf).select("item_id", "name"), ["item_id", "name"])
+    return listed.select("user_id", F.size("rows").cast("bigint").alias("n_rows"), "n_items", (F.sort_array(ratings, asc=False) == ratings).alias("best_first"), named.agg(F.count(F.lit(1))).scalar().alias("n_named"))
+
+
+def als_cv_agrees(spark, sf):
+    """A small grid tuned on the training part: its points, the best by the least error, and hold-out pairs it predicts."""
+    indexed, _, _ = _indexed(spark, sf)
+    train, test = R.hash_split(indexed)
+    tuned = A.tune_als(train, ranks=(2, 6), iterations=(2, 4), folds=2)
+    report = A.tuning_report(spark, tuned)
+    chosen = report.where("best").first()
+    predicted = A.predict_als(tuned.bestModel, test)
+    least = report.agg(F.min("rmse")).scalar()
+    return report.agg(
+        F.count(F.lit(1)).alias("n_points"), F.countDistinct("rank", "iterations").alias("n_different"), F.count(F.when(F.col("best") & (F.col("rmse") == least), 1)).alias("n_best"),
+        F.lit(chosen["rank"] == tuned.bestModel.rank).alias("best_is_kept"), predicted.agg(F.count(F.lit(1))).scalar().alias("n_predicted"),
+    )
+
+
 def als_reload_agrees(spark, sf):
     """How many hold-out pairs a saved and reloaded model predicts, and for how many it says what the factors say."""
     indexed, _, _ = _indexed(spark, sf)
@@ -404,12 +463,38 @@ def als_reload_agrees(spark, sf):
 
 
 def text_tfidf(spark, sf):
-    """Word weights of the fitted text pipeline with a stopword file, per item."""
+    """Word weights of the text pipeline with a stopword file, per item, from a saved vocabulary."""
     path = scratch_path(spark, "stopwords")
     _stopwords(spark).select("word").write.text(path)
     stopwords = [r["word"] for r in IO.read_stopwords(spark, path).collect()]
-    features = TextFeatures.fit(T.reviews(spark, sf), stopwords=stopwords)
-    return features.tfidf().withColumn("tfidf", F.round("tfidf", 6))
+    words = words_of(cleaner(stopwords), T.reviews(spark, sf))
+    saved = scratch_path(spark, "word-weights")
+    WordWeights.fit(words).save(saved)
+    weights = WordWeights.load(spark, saved).tfidf(words)
+    return weights.select("item_id", "word", F.round("tfidf", 6).alias("tfidf"))
+
+
+def text_vectors_agree(spark, sf):
+    """For how many items the assembled vector is what its parts say: the weighted mean of the words' vectors, and TF-IDF."""
+    reviews = T.reviews(spark, sf)
+    path = scratch_path(spark, "text-features")
+    TextFeatures.fit(reviews, stopwords=STOPWORDS, vector_size=20).save(path)
+    features = TextFeatures.load(spark, path)
+    words = words_of(features.clean, reviews)
+    counts = materialize(WordWeights.counts(words), "item-words")
+    of_word = features.model.getVectors().select("word", vector_to_array("vector").alias("v"))
+    entry = counts.join(of_word, "word").select("item_id", "n", F.posexplode("v").alias("at", "x"))
+    total = counts.groupBy("item_id").agg(F.sum("n").alias("total"))
+    mean = entry.groupBy("item_id", "at").agg(F.sum(F.col("n") * F.col("x")).alias("x")).join(total, "item_id")
+    mean = mean.select("item_id", "at", (F.col("x") / F.col("total")).alias("x")).groupBy("item_id").agg(F.sort_array(F.collect_list(F.struct("at", "x"))).alias("m"))
+    weight = features.weights.tfidf(words).groupBy("item_id").agg(F.sum("tfidf").alias("weight"))
+    made = features.transform(reviews).select("item_id", vector_to_array("combined_vector").alias("c"))
+    size = features.weights.size
+    made = made.select("item_id", F.size("c").alias("n_features"), F.slice("c", size + 1, 20).alias("w"), F.aggregate(F.slice("c", 1, size), F.lit(0.0), lambda a, x: a + x).alias("made"))
+    both = made.join(mean, "item_id", "left").join(weight, "item_id", "left")
+    apart = F.aggregate(F.zip_with("w", F.col("m.x"), lambda x, y: F.abs(x - y)), F.lit(0.0), lambda a, x: F.greatest(a, x))
+    agree = (apart < 1e-6) & (F.abs(F.col("made") - F.col("weight")) <= 1e-9 * F.abs(F.col("weight")) + 1e-9)
+    return both.agg(F.count(F.lit(1)).alias("n_items"), F.count(F.when(agree, 1)).alias("n_agree"), F.max("n_features").cast("bigint").alias("n_features"))
 
 
 def text_pipeline_w2v(spark, sf):
@@ -417,7 +502,7 @@ def text_pipeline_w2v(spark, sf):
     reviews = T.reviews(spark, sf)
     path = scratch_path(spark, "text-features")
     TextFeatures.fit(reviews).save(path)
-    vectors = TextFeatures.load(path).transform(reviews)
+    vectors = TextFeatures.load(spark, path).transform(reviews)
     return vectors.select(
         "item_id",
         vector_to_array("word_vector").alias("word_vector"),
@@ -441,6 +526,28 @@ def hybrid_als(spark, sf):
     return _rank(H.hybrid(content_recommend(spark, sf), collaborative.withColumnRenamed("rating", "score")))
 
 
+def hybrid_als_agrees(spark, sf):
+    """The hybrid list over a factorisation: rows of each source, ranks without gaps, and scores that fall with the rank."""
+    listed = materialize(hybrid_als(spark, sf), "hybrid-list")
+    of_source = listed.groupBy("user_id", "source").agg(
+        F.sort_array(F.collect_list(F.struct("rank", "score"))).alias("rows"), F.countDistinct("item_id").alias("items")
+    )
+    ranks, scores = F.col("rows.rank"), F.col("rows.score")
+    ordered = (ranks == F.sequence(F.lit(1).cast("bigint"), F.size("rows").cast("bigint"))) & (F.sort_array(scores, asc=False) == scores) & (F.col("items") == F.size("rows"))
+    return of_source.groupBy("source").agg(
+        F.count(F.lit(1)).alias("n_users"), F.sum(F.size("rows")).alias("n_rows"), F.count(F.when(ordered, 1)).alias("n_ordered")
+    )
+
+
+def vector_index_recall(spark, sf):
+    """Whether a search of the inverted file for every item finds the wanted share of its nearest, and how many there are."""
+    vectors = T.item_vectors(spark, sf)
+    exact = similar_items(vectors.select("item_id"), vectors, D.SIMILAR_PER_SEED)
+    found = VectorIndex.fit(vectors, D.SIMILAR_PER_SEED).search(vectors, D.SIMILAR_PER_SEED)
+    quality = E.recall(found, exact, "seed_id", "item_id")
+    return quality.select("n_exact", (F.col("recall") >= D.SEARCH_RECALL).alias("reached"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "ratings_utility": ratings_utility,
@@ -464,7 +571,8 @@ def queries() -> dict[str, Query]:
         "lsh_candidates": lsh_candidates,
         "lsh_verified_jaccard": lsh_verified_jaccard,
         "lsh_user_pearson": lsh_user_pearson,
-        "lsh_recall": lsh_recall,
+        "lsh_recall": _lsh_recall("item_id", "user_id"),
+        "lsh_user_recall": _lsh_recall("user_id", "item_id"),
         "lsh_co_raters": lsh_co_raters,
         "lsh_user_pearson_search": lsh_user_pearson_search,
         "lsh_confirmed_recall": lsh_confirmed_recall,
@@ -500,6 +608,12 @@ def queries() -> dict[str, Query]:
         "als_cv": als_cv,
         "als_user_details": als_user_details,
         "als_reload_agrees": als_reload_agrees,
+        "als_recommend_agrees": als_recommend_agrees,
+        "als_details_agree": als_details_agree,
+        "als_cv_agrees": als_cv_agrees,
+        "text_vectors_agree": text_vectors_agree,
+        "hybrid_als_agrees": hybrid_als_agrees,
+        "vector_index_recall": vector_index_recall,
         "text_tfidf": text_tfidf,
         "text_pipeline_w2v": text_pipeline_w2v,
         "content_recommend_w2v": content_recommend_w2v,

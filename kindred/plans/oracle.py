@@ -5,7 +5,7 @@ from __future__ import annotations
 from kindred import defaults as D
 from kindred.functions.hashing import MIX_RANGE, PRIME, coefficients, mix_sql
 from kindred.functions.words import PUNCTUATION
-from kindred.plans.catalog import LSH_ROWS, RARE_SHARE, SEARCH_TEXT, STOPWORDS
+from kindred.plans.catalog import LSH_PLAN, LSH_ROWS, RARE_SHARE, SEARCH_TEXT, STOPWORDS
 
 MIX = mix_sql("user_id", "item_id")
 TEST_BOUND = int(D.TEST_SHARE * MIX_RANGE)
@@ -99,16 +99,34 @@ def item_model(source: str) -> str:
     return moments(source, "user_id", "item_id", "item_moments") + ",\n" + pearson("item_moments", "item_model")
 
 
-JACCARD = ",\n".join([
-    sizes("ratings", "item_id", "item_sizes"),
-    """common AS (
-  SELECT x.item_id AS a, y.item_id AS b, count(*) AS overlap
-  FROM ratings x JOIN ratings y ON x.user_id = y.user_id AND x.item_id < y.item_id GROUP BY 1, 2)""",
-    f"""exact AS (
+def jaccard(entity: str, member: str) -> str:
+    """CTEs ending in ``exact(a, b, jaccard)``."""
+    return ",\n".join([
+        sizes("ratings", entity, "all_sizes"),
+        f"""common AS (
+  SELECT x.{entity} AS a, y.{entity} AS b, count(*) AS overlap
+  FROM ratings x JOIN ratings y ON x.{member} = y.{member} AND x.{entity} < y.{entity} GROUP BY 1, 2)""",
+        f"""exact AS (
   SELECT a, b, overlap / (p.size + q.size - overlap) AS jaccard
-  FROM common JOIN item_sizes p ON p.e = a JOIN item_sizes q ON q.e = b
+  FROM common JOIN all_sizes p ON p.e = a JOIN all_sizes q ON q.e = b
   WHERE overlap / (p.size + q.size - overlap) > {D.MIN_JACCARD_ITEMS})""",
-])
+    ])
+
+
+JACCARD = jaccard("item_id", "user_id")
+
+
+def lsh_recall(entity: str, member: str) -> str:
+    bands = f"planned AS (SELECT * FROM sigs WHERE k < {LSH_PLAN.rows * LSH_PLAN.bands})"
+    return query(
+        RATINGS, jaccard(entity, member), signatures("ratings", entity, member, "sigs"), bands, banded_pairs_of("planned", "candidates", LSH_PLAN.rows),
+        select=f"""SELECT count(c.a) AS n_found, count(*) AS n_exact, round(count(c.a) / count(*), 6) AS recall,
+  (SELECT CAST(sum(n * (n - 1) // 2) AS BIGINT) FROM (SELECT count(*) AS n FROM candidates_bands GROUP BY band, bucket)) AS n_bucket_pairs,
+  (SELECT CAST(sum(n * (n - 1) // 2) AS BIGINT) FROM (SELECT count(*) AS n FROM ratings GROUP BY {member})) AS n_join_pairs
+FROM exact e LEFT JOIN candidates c ON c.a = e.a AND c.b = e.b""",
+    )
+
+
 ITEM_LSH = signatures("ratings", "item_id", "user_id", "item_sigs") + ",\n" + banded("item_sigs", "item_candidates")
 
 
@@ -194,6 +212,12 @@ PROFILES = COUNTS + ",\n" + profiles("counts")
 USER_WORDS = """user_words AS (
   SELECT DISTINCT r.user_id, p.word FROM reviews r JOIN profile p ON p.item_id = r.item_id)"""
 
+TEXT_COUNTS = f"""{REVIEWS},
+words AS (
+  SELECT item_id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{M}}\\p{{N}}_]+')) AS word FROM reviews),
+counts AS (
+  SELECT item_id, word, count(*) AS n FROM words WHERE word NOT IN ({STOP_LIST}) GROUP BY item_id, word)"""
+
 CONTENT = f"""liked AS (SELECT DISTINCT user_id, item_id FROM reviews WHERE stars >= {D.LIKED_FROM}),
 seeds AS (
   SELECT user_id, item_id FROM (
@@ -298,16 +322,10 @@ FROM ratings r JOIN u ON u.user_id = r.user_id JOIN i ON i.item_id = r.item_id""
             select="SELECT a, b FROM candidates",
         ),
         "lsh_user_pearson_search": query(
-            RATINGS, user_model("ratings", lsh=False), signatures("ratings", "user_id", "item_id", "sigs"),
-            banded_pairs_of("sigs", "candidates", LSH_ROWS),
-            select="SELECT m.a AS u1, m.b AS u2, sim FROM user_model m JOIN candidates c ON c.a = m.a AND c.b = m.b",
-        ),
-        "lsh_recall": query(
-            RATINGS, JACCARD, signatures("ratings", "item_id", "user_id", "item_sigs"),
-            banded_pairs_of("item_sigs", "candidates", LSH_ROWS),
-            select="""SELECT count(c.a) AS n_found, count(*) AS n_exact, round(count(c.a) / count(*), 6) AS recall
-FROM exact e LEFT JOIN candidates c ON c.a = e.a AND c.b = e.b""",
+            RATINGS, user_model("ratings", lsh=False), select="SELECT a AS u1, b AS u2, sim FROM user_model"
         ),
+        "lsh_recall": lsh_recall("item_id", "user_id"),
+        "lsh_user_recall": lsh_recall("user_id", "item_id"),
         "lsh_co_raters": query(
             RATINGS, signatures("ratings", "user_id", "item_id", "sigs"), banded("sigs", "candidates"),
             moments("ratings", "item_id", "user_id", "m"),
@@ -333,12 +351,35 @@ FROM exact e LEFT JOIN item_candidates c ON c.a = e.a AND c.b = e.b""",
             select="""SELECT count(*) AS n_pairs, count(*) AS n_agree FROM test
 WHERE user_id IN (SELECT user_id FROM train) AND item_id IN (SELECT item_id FROM train)""",
         ),
+        "als_recommend_agrees": query(
+            RATINGS,
+            f"asked AS (SELECT count(DISTINCT user_id) AS users, least({D.TOP}, count(DISTINCT item_id)) AS k FROM ratings)",
+            select="SELECT users AS n_users, CAST(users * k AS BIGINT) AS n_rows, users AS n_agree FROM asked",
+        ),
+        "als_details_agree": query(
+            RATINGS,
+            f"asked AS (SELECT min(user_id) AS user_id, least({D.TOP}, count(DISTINCT item_id)) AS k FROM ratings)",
+            select="SELECT user_id, k AS n_rows, k AS n_items, true AS best_first, k AS n_named FROM asked",
+        ),
+        "als_cv_agrees": query(
+            SPLIT,
+            select="""SELECT 4 AS n_points, 4 AS n_different, 1 AS n_best, true AS best_is_kept, count(*) AS n_predicted FROM test
+WHERE user_id IN (SELECT user_id FROM train) AND item_id IN (SELECT item_id FROM train)""",
+        ),
+        "text_vectors_agree": query(
+            TEXT_COUNTS,
+            select="SELECT count(DISTINCT item_id) AS n_items, count(DISTINCT item_id) AS n_agree, count(DISTINCT word) + 20 AS n_features FROM counts",
+        ),
+        "hybrid_als_agrees": query(
+            *reviewed,
+            "per_user AS (SELECT user_id, count(*) AS n FROM content GROUP BY user_id)",
+            "known AS (SELECT count(DISTINCT user_id) AS users, count(DISTINCT item_id) AS items FROM reviews)",
+            select=f"""SELECT 'content' AS source, count(*) AS n_users, CAST(sum(least(n, {D.CONTENT_MAX})) AS BIGINT) AS n_rows, count(*) AS n_ordered FROM per_user
+UNION ALL SELECT 'collaborative', users, CAST(users * least(items, {D.COLLABORATIVE_MAX}) AS BIGINT), users FROM known""",
+        ),
+        "vector_index_recall": f"SELECT CAST(sum(least({D.SIMILAR_PER_SEED}, n - 1)) AS BIGINT) AS n_exact, true AS reached FROM (SELECT count(*) OVER () AS n FROM embeddings)",
         "text_tfidf": query(
-            REVIEWS,
-            """words AS (
-  SELECT item_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{M}\\p{N}_]+')) AS word FROM reviews)""",
-            f"""counts AS (
-  SELECT item_id, word, count(*) AS n FROM words WHERE word NOT IN ({STOP_LIST}) GROUP BY item_id, word)""",
+            TEXT_COUNTS,
             "found AS (SELECT word, count(*) AS df FROM counts GROUP BY word)",
             select="""SELECT c.item_id, c.word,
        round(n * ln((1.0 + (SELECT count(DISTINCT item_id) FROM counts)) / (1.0 + df)), 6) AS tfidf

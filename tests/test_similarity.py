@@ -7,9 +7,12 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import brute
+from kindred.operators import pairs as P
 from kindred.operators import similarity as S
 from kindred.operators.evaluate import recall
-from kindred.operators.minhash import bucket_sizes, lsh_buckets, lsh_candidates, minhash_signatures, signature_rows
+from kindred.operators.minhash import BandPlan, bucket_sizes, lsh_buckets, lsh_candidates, minhash_signatures, plan_bands, signature_rows
+
+PLAN = BandPlan(2, 25, 0.0)
 
 
 def pairs(df, a, b):
@@ -120,9 +123,9 @@ def test_search_finds_every_pair_that_shares_a_band(rated, width):
 
 def test_models_of_searched_pairs_are_parts_of_the_exact_ones(rated):
     ratings = rated(brute.random_ratings(13, users=50, items=25, per_user=7))
-    found, exact = S.user_similarity_search(ratings, 2), S.user_similarity(ratings, lsh=False)
+    found, exact = S.user_similarity_search(ratings, PLAN), S.user_similarity(ratings, lsh=False)
     assert found.exceptAll(exact).count() == 0 and found.count() > 0
-    found, exact = S.item_jaccard_search(ratings, 2), S.item_jaccard(ratings, lsh=False)
+    found, exact = S.item_jaccard_search(ratings, PLAN), S.item_jaccard(ratings, lsh=False)
     assert found.exceptAll(exact).count() == 0 and found.count() > 0
 
 
@@ -167,3 +170,71 @@ def test_one_user_with_a_third_of_all_rows(spark):
         baskets.setdefault(r["user_id"], []).append(r["item_id"])
     counts = Counter(pair for items in baskets.values() for pair in combinations(sorted(items), 2))
     assert got == {pair: k + 1 for pair, k in counts.items() if k + 1 >= 3}
+
+
+@pytest.mark.parametrize(("threshold", "spread"), [(0.05, 1), (0.3, 1), (0.5, 3)])
+def test_prefix_index_leaves_out_the_most_frequent_members_only(rated, threshold, spread):
+    """Whatever a basket may spare of its members goes, and every similar pair still shares one that is left."""
+    rows = brute.random_ratings(21, users=200, items=60, per_user=6) + [(u, i, 1.0) for u in (900, 901) for i in range(0, 60, spread)]
+    rows = list({(u, i): (u, i, r) for u, i, r in rows}.values())
+    kept = {}
+    for r in S.prefix_index(rated(rows), "item_id", "user_id", threshold).collect():
+        kept.setdefault(r["item_id"], (r["size"], r["dropped"], set()))[2].add(r["user_id"])
+    baskets = {i: set(own) for i, own in brute.by(rows, 1, 0).items()}
+    often = Counter(u for u, _, _ in rows)
+    assert set(kept) == set(baskets)
+    for item, (size, dropped, members) in kept.items():
+        assert size == len(baskets[item]) and dropped == size - len(members) <= threshold * size
+        gone = baskets[item] - members
+        assert all(often[u] * 2**0.25 >= max(often[v] for v in members) for u in gone)
+    found = brute.jaccard_pairs(rows, 0, 1, threshold)
+    assert found and all(kept[a][2] & kept[b][2] for a, b in found)
+
+
+def test_members_common_to_all_are_not_joined_on(rated):
+    """Large baskets that share three members with everyone, and one more with a few."""
+    rows = [(u, i, 1.0) for u in (1, 2, 3) for i in range(200)] + [(100 + 70 * i + k, i, 1.0) for i in range(200) for k in range(70)]
+    rows += [(5, i, 1.0) for i in (10, 11)] + [(6 + k, i, 1.0) for k in range(60) for i in (30, 31)]
+    rows = list(dict.fromkeys(rows))
+    kept = S.prefix_index(rated(rows), "item_id", "user_id", 0.2)
+    assert kept.where("user_id in (1, 2, 3)").count() == 0
+    got = {(r["a"], r["b"]): r["overlap"] for r in S.jaccard_pairs(rated(rows), "item_id", "user_id", 0.2).collect()}
+    assert got == {(30, 31): 63}
+
+
+@pytest.mark.parametrize(("block_rows", "hot"), [(2048, 1.0), (4, 1.0), (4, 0.0), (16, 0.02)])
+def test_pairs_counted_from_lists(rated, monkeypatch, block_rows, hot):
+    """Lists cut into blocks, and members hot or not, give the same counts and carried columns."""
+    monkeypatch.setattr(P, "HOT_SHARE", hot)
+    rows = brute.random_ratings(22, users=40, items=50, per_user=9)
+    table = rated(rows).withColumn("twice", F.col("item_id") * 2)
+    got = P.counted_pairs(table, "user_id", "item_id", ["twice"], F.col("twice_a") != 6, block_rows, pairs_per_task=50)
+    counts = Counter(p for _, items in brute.by(rows, 0, 1).items() for p in combinations(sorted(items), 2) if p[0] != 3)
+    found = [tuple(r) for r in got.select("a", "b", "n", "twice_a", "twice_b").collect()]
+    assert sorted(found) == sorted((a, b, n, 2 * a, 2 * b) for (a, b), n in counts.items())
+
+
+def test_plans_reach_their_recall_with_the_most_selective_bands():
+    assert plan_bands(0.01, 0.9, 50) is None
+    for similarity in (0.05, 0.2, 0.5, 0.8, 0.95, 1.0):
+        for hashes in (50, 200):
+            plan = plan_bands(similarity, 0.9, hashes)
+            assert plan.recall >= 0.9 and plan.rows * plan.bands <= hashes
+            more = plan.rows + 1
+            assert more > hashes or 1 - (1 - similarity**more) ** (hashes // more) < 0.9
+
+
+def test_a_search_is_made_where_it_pays(rated, monkeypatch):
+    """Baskets alike in groups: few pairs share a bucket, so the search runs and finds its share; random ones are joined."""
+    rows = [(1000 * g + u, 20 * g + i, float(1 + (u * i) % 5)) for g in range(40) for i in range(20) for u in range(60) if (u * 7 + i * 3) % 10]
+    rows += [(u, i, 3.0) for u in range(50_000, 50_030) for i in range(0, 800, 2)]
+    ratings = rated(rows)
+    searched = []
+    plain = S.lsh_candidates
+    monkeypatch.setattr(S, "lsh_candidates", lambda *a, **k: searched.append(a[2]) or plain(*a, **k))
+    found, exact = S.item_jaccard_search(ratings, threshold=0.6), S.item_jaccard(ratings, threshold=0.6, lsh=False)
+    quality = recall(found, exact, "b1", "b2").first()
+    assert searched == [plan_bands(0.6).rows] and quality["n_exact"] > 1000 and quality["recall"] >= 0.9
+    assert found.exceptAll(exact).count() == 0
+    few = rated(brute.random_ratings(23, users=60, items=40, per_user=8))
+    assert S.item_jaccard_search(few).exceptAll(S.item_jaccard(few, lsh=False)).count() == 0 and len(searched) == 1
