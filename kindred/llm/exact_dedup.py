@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kindred.llm.texts import SPACE, keep_rows, materialize, table, text_hash
+from kindred.operators.pairs import attach
 
 #: Bytes of the first digit, and how much longer each level's digit is.
 FIRST_DIGIT = 64
@@ -97,17 +98,14 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     order = F.struct(
         (-F.col("n_points")).alias("shorter"), F.col("doc_id").isNull().alias("unknown"), F.col("doc_id").alias("keep_id"), "row_id"
     )
-    classes = (
-        rows.where("class_id is not null")
-        .groupBy("class_id")
-        .agg(F.min(order).alias("best"), F.count("*").alias("size"))
-        .select(F.col("class_id").alias("of"), "best", "size")
-    )
-    # Unique rows, which have no class, stay out of the join: as nulls they would all meet in one task.
+    classes = materialize(rows.where("class_id is not null").groupBy("class_id").agg(F.min(order).alias("best"), F.count("*").alias("size")), "classes")
+    total = classes.agg(F.sum("size")).first()[0] or 0
+    # Unique rows, which have no class, stay out of the join, where as nulls they would all meet in one task; and what is
+    # known of large classes goes to their rows, not the rows to one task.
     unique = rows.where("class_id is null").select(
         "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256", "text_hash"
     )
-    members = rows.join(classes.hint("merge"), F.col("class_id") == F.col("of")).select(
+    members = attach(rows.where("class_id is not null"), classes, "class_id", "size", total).select(
         "doc_id",
         F.col("best.keep_id").alias("keep_id"),
         F.col("size").alias("group_size"),

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from kindred.llm.components import components
 from kindred.llm.texts import keep_rows, materialize, table, text_hash
-from kindred.operators.pairs import pairs_within
+from kindred.operators.pairs import attach, pairs_within
 
 #: Bands and rows: a pair of similarity 0.8 shares no band with a probability of 3e-6.
 BANDS = 42
@@ -236,7 +236,7 @@ def near_duplicates(
         F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), text_hash(text).alias("text_hash")
     )
     known = materialize(sketches(plain, width, bands, rows).withColumn("row_id", F.monotonically_increasing_id()), "sketches")
-    nodes = materialize(known.where("set_key is not null").groupBy("set_key").agg(F.min("row_id").alias("node")), "nodes")
+    nodes = materialize(known.where("set_key is not null").groupBy("set_key").agg(F.min("row_id").alias("node"), F.count("*").alias("copies")), "nodes")
     distinct = known.join(nodes.select(F.col("node").alias("row_id")), "row_id", "left_semi")
 
     exploded = distinct.select(F.col("row_id").alias("node"), F.col("n_shingles").alias("n"), F.explode("keys").alias("key"))
@@ -280,14 +280,19 @@ def near_duplicates(
     if more.head(1):
         groups = components(groups.where("node != root").select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more), "a", "b")
 
-    of_node = nodes.join(groups.select(F.col("node").alias("member"), "root"), F.col("node") == F.col("member"), "left").select(
-        F.col("set_key").alias("key"), F.coalesce("root", "node").alias("root")
-    )
-    placed = known.drop("keys").join(of_node, F.col("set_key") == F.col("key"), "left").withColumn("root", F.coalesce("root", "row_id"))
-    placed = materialize(placed.select("doc_id", "text_hash", "n_shingles", "row_id", "root"), "placed")
+    # What is known of the sets of many copies, and of large components, goes to their rows, not the rows to one task.
+    of_node = nodes.join(groups.select(F.col("node").alias("member"), "root"), F.col("node") == F.col("member"), "left")
+    of_node = materialize(of_node.select("set_key", "copies", F.coalesce("root", "node").alias("root")), "roots")
+    total = nodes.agg(F.sum("copies")).first()[0] or 0
+    columns = ("doc_id", "text_hash", "n_shingles", "row_id")
+    placed = attach(known.where("set_key is not null"), of_node, "set_key", "copies", total).select(*columns, "root")
+    placed = materialize(placed, "placed")
     first = F.struct(F.col("doc_id").isNull().alias("unknown"), F.col("doc_id").alias("id"), F.col("row_id").alias("row"))
-    best = placed.groupBy("root").agg(F.min(first).alias("first")).select(F.col("root").alias("of"), "first.id", "first.row")
-    return placed.join(best, F.col("root") == F.col("of")).select(
+    best = placed.groupBy("root").agg(F.min(first).alias("first"), F.count("*").alias("members"))
+    best = materialize(best.select("root", "first.id", "first.row", "members"), "components")
+    alone = known.where("set_key is null").select(*columns, F.col("doc_id").alias("id"), F.col("row_id").alias("row"))
+    found = attach(placed, best, "root", "members", total).select(*columns, "id", "row").unionByName(alone)
+    return found.select(
         "doc_id", "n_shingles", F.col("id").alias("component_id"), F.col("doc_id").eqNullSafe(F.col("id")).alias("kept"), (F.col("row_id") == F.col("row")).alias("keeper"), "text_hash"
     )
 
