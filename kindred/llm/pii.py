@@ -7,7 +7,9 @@ person's number written in two ways stays one number, in every document, and wit
 Names are built from syllables of the name's script with an ending of its gender; card numbers keep a valid check digit.
 
 A given name or surname has one gender in the whole table, so that a person is called the same after any title: the
-one it occurs with, or none if it occurs with both. A Latin surname has no gender.
+one it occurs with, or none if it occurs with both. A Latin surname has no gender. Where a text has a name, its parts
+are replaced in that text wherever they stand alone ("Mrs. Maria Smith ... Smith said"); ``n_entities`` counts the names,
+not such mentions. Compressed IPv6 addresses count if a group has three digits and one is decimal, as "1::2" is code.
 
 Distinct entities must stay distinct and must not become another real entity. Only the distinct entities, not
 their occurrences, are shuffled to find surrogates that clash, by a dictionary join; those entities draw again until
@@ -25,6 +27,8 @@ from kindred.llm.texts import materialize, table
 KEY = "kindred"
 #: Draws after which a surrogate gets longer, so that drawing again always ends.
 SAME_LENGTH_DRAWS = 4
+#: Letters of a part of a name from which the text's other mentions of it are replaced too.
+SHORTEST_PART = 3
 
 # Forms of address with their gender, and given names with theirs.
 TITLES_F = ("Mrs", "Ms", "Miss", "Mme", "Mlle", "Madame", "Frau", "Señora", "Sra", "Госпожа")
@@ -52,7 +56,7 @@ _TITLE = "(?:" + "|".join(sorted(TITLES_F + TITLES_M + TITLES_ANY)) + ")"
 # takes time in proportion to the text however long its words are.
 PARTS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9])",
-    "ipv6": r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])",
+    "ipv6": r"(?<![0-9A-Za-z:])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?=[A-Fa-f:]{0,34}[0-9])(?=[0-9A-Fa-f:]{0,36}[0-9A-Fa-f]{3})(?:(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6}|(?:[0-9A-Fa-f]{1,4}:){1,7}:|::(?:[0-9A-Fa-f]{1,4}:){0,6}[0-9A-Fa-f]{1,4}))(?![0-9A-Za-z:])",
     "ipv4": r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
@@ -85,7 +89,8 @@ def normal_of(raw: Column, kind: Column) -> Column:
     return (
         F.when(kind == "phone", F.substring(number, -10, 10))
         .when(kind.isin("card", "ssn"), number)
-        .when(kind.isin("email", "ipv6", "secret"), F.lower(raw))
+        .when(kind.isin("email", "ipv6"), F.lower(raw))
+        .when(kind == "secret", raw)
         .otherwise(F.regexp_replace(raw, " ", ""))
     )
 
@@ -152,7 +157,7 @@ def surrogate(raw: Column, kind: Column, normal: Column, draw: Column, key: str
     return (
         F.when(kind == "email", F.concat(_pour(local, stream, F.lit(0)), longer, F.lit("@m"), domain, F.lit(".example.com")))
         .when(kind == "ipv4", F.array_join(octets, "."))
-        .when(kind == "ipv6", F.array_join(F.transform(F.split(raw, ":"), lambda o, i: F.substring(stream, i * 4 + 1, F.lit(4))), ":"))
+        .when(kind == "ipv6", F.array_join(F.transform(F.split(raw, ":"), lambda o, i: F.when(o == "", o).otherwise(F.substring(stream, i * 4 + 1, F.lit(4)))), ":"))
         .when(kind == "card", _valid_card(_pour(raw, stream, F.lit(0)), raw))
         .when(kind == "phone", _pour(raw, stream, F.greatest(letters - 10, F.lit(0))))
         .when(kind == "iban", _pour(raw, stream, F.lit(2)))
@@ -272,7 +277,9 @@ def pseudonymise(docs: DataFrame, key: str = KEY, doc_id: str = "doc_id", text:
     genders = entries.groupBy(F.col("e.kind").alias("kind"), F.col("e.normal").alias("normal")).agg(F.min("e").alias("e"), F.collect_set("e.gender").alias("genders"))
     known = F.array_remove("genders", "x")
     settled = genders.withColumn("e", F.col("e").withField("gender", F.when(F.size(known) == 1, known[0]).otherwise("x")))
-    entities = materialize(settled.withColumn("mixed", F.size("genders") > 1), "entities")
+    # Drawing surrogates is the work; the few bytes of the entities would else be written, and then drawn for, by one task.
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    entities = materialize(settled.withColumn("mixed", F.size("genders") > 1).repartition(tasks, "kind", "normal"), "entities")
     drawn = redraws(entities.drop("mixed"), key)
     # What a text does not know by itself: another draw than the first, or the gender of a name met with several.
     again = (
@@ -294,30 +301,39 @@ def pseudonymise(docs: DataFrame, key: str = KEY, doc_id: str = "doc_id", text:
     else:
         found = found.withColumn("draws", F.lit(None).cast("map<string,struct<draw:int,gender:string>>"))
 
-    def replaced(entity: Column) -> Column:
-        raw, kind, normal = entity["raw"], entity["kind"], entity["normal"]
+    def said(kind: Column, normal: Column) -> Column:
+        return F.try_element_at("draws", F.concat_ws("|", kind, normal))
 
-        def said(kind: Column, normal: Column) -> Column:
-            return F.try_element_at("draws", F.concat_ws("|", kind, normal))
+    def draw_of(kind: Column, normal: Column) -> Column:
+        return F.coalesce(said(kind, normal)["draw"], F.lit(0))
 
-        def draw_of(kind: Column, normal: Column) -> Column:
-            return F.coalesce(said(kind, normal)["draw"], F.lit(0))
-
-        def settled(p: Column) -> Column:
-            return p.withField("gender", F.coalesce(said(p["role"], F.lower(p["part"]))["gender"], p["gender"]))
+    def of_gender(p: Column) -> Column:
+        return p.withField("gender", F.coalesce(said(p["role"], F.lower(p["part"]))["gender"], p["gender"]))
 
+    def replaced(entity: Column) -> Column:
+        raw, kind, normal = entity["raw"], entity["kind"], entity["normal"]
         name = F.array_join(
             F.transform(
-                name_parts(raw), lambda p: F.when(p["role"] == "title", p["part"]).otherwise(name_surrogate(settled(p), draw_of(p["role"], F.lower(p["part"])), key))
+                name_parts(raw), lambda p: F.when(p["role"] == "title", p["part"]).otherwise(name_surrogate(of_gender(p), draw_of(p["role"], F.lower(p["part"])), key))
             ),
             " ",
         )
         return F.when(kind == "name", name).otherwise(surrogate(raw, kind, normal, draw_of(kind, normal), key))
 
+    # Parts of the names found, wherever else the text has them alone.
+    parts = F.flatten(F.transform(F.filter("found", lambda e: e["kind"] == "name"), lambda e: F.filter(name_parts(e["raw"]), lambda p: (p["role"] != "title") & (F.length(p["part"]) >= SHORTEST_PART))))
+    alone = F.transform(
+        F.array_distinct(parts), lambda p: F.struct(p["part"].alias("part"), name_surrogate(of_gender(p), draw_of(p["role"], F.lower(p["part"])), key).alias("new"))
+    )
+
+    def without_parts(gap: Column) -> Column:
+        one = lambda said, p: F.regexp_replace(said, F.concat(F.lit(r"(?<![\p{L}’'-])\Q"), p["part"], F.lit(r"\E(?![\p{L}-]|['’]\p{L}{2})")), p["new"])
+        return F.when(F.exists("alone", lambda p: F.contains(gap, p["part"])), F.aggregate("alone", gap, one)).otherwise(gap)
+
     # Splitting by the pattern gives what stands between the entities, one part more than there are entities.
     between = F.split("text", ENTITY)
-    woven = F.array_join(F.transform(between, lambda gap, i: F.concat(gap, F.coalesce(F.get("given", i), F.lit("")))), "")
-    given = found.withColumn("given", F.transform("found", replaced))
+    woven = F.array_join(F.transform(between, lambda gap, i: F.concat(without_parts(gap), F.coalesce(F.get("given", i), F.lit("")))), "")
+    given = found.withColumns({"given": F.transform("found", replaced), "alone": alone})
     kinds = F.array_sort(F.transform("kinds", lambda e: e["kind"]))
     counted = F.map_from_entries(
         F.transform(F.array_distinct(kinds), lambda k: F.struct(k, F.size(F.filter("kinds", lambda e: e["kind"] == k))))

@@ -3,7 +3,7 @@
 Dated additions and removals of an entry become validity intervals. An entry names a host and covers its subdomains.
 Intervals are joined to the distinct hosts first, which are far fewer than captures, and each host carries its
 intervals to its captures in one join; the as-of test runs on the row. No capture is multiplied by its host's
-parents, and a host that has a third of all captures is split over tasks by the skew join.
+parents. The intervals of a host with many captures go to where these are, and captures without a host join nothing.
 """
 
 from __future__ import annotations
@@ -11,15 +11,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kindred.llm.texts import table
+from kindred.llm.texts import materialize, table
+from kindred.operators.pairs import attach
 
-HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)"
+HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[0-9A-Fa-f:.]+\]|[^/?#:]+)"
 EPOCH = "2024-01-01 00:00:00"
 
 
 def host_of(url: Column) -> Column:
-    """The URL's host in lower case; null if there is none."""
-    return F.nullif(F.lower(F.regexp_extract(url, HOST, 1)), F.lit(""))
+    """The URL's host in lower case, without the root's dot, an IPv6 address in its brackets; null if there is none."""
+    return F.nullif(F.regexp_replace(F.lower(F.regexp_extract(url, HOST, 1)), r"\.$", ""), F.lit(""))
 
 
 def suffixes(host: Column) -> Column:
@@ -56,10 +57,12 @@ def judge(captures: DataFrame, intervals: DataFrame, url: str = "url", fetched:
     kept = [c for c in captures.columns if c not in added]
     whole = F.struct(*[F.col(f"`{c}`") for c in kept], F.lit(0).alias("nothing else"))
     placed = captures.select(whole.alias("capture"), host_of(F.col(url)).alias("host"), F.col(fetched).alias("fetched"))
-    known = placed.where("host is not null").select("host").distinct().select("host", F.explode(suffixes(F.col("host"))).alias("entry"))
+    hosts = materialize(placed.where("host is not null").groupBy("host").agg(F.count("*").alias("captures")), "hosts")
+    total = hosts.agg(F.sum("captures")).first()[0] or 0
+    known = hosts.select("host", F.explode(suffixes(F.col("host"))).alias("entry"))
     lists = (
         known.join(intervals, "entry")
-        .groupBy(F.col("host").alias("of"))
+        .groupBy("host")
         .agg(
             F.sort_array(
                 F.collect_list(
@@ -72,7 +75,11 @@ def judge(captures: DataFrame, intervals: DataFrame, url: str = "url", fetched:
     )
     at = F.col("fetched")
     active = F.filter("intervals", lambda x: (x["valid_from"] <= at) & (x["valid_to"].isNull() | (at < x["valid_to"])))
-    tested = placed.join(lists, F.col("host") == F.col("of"), "left").withColumn("active", F.coalesce(active, F.array()))
+    lists = materialize(hosts.join(lists, "host", "left"), "host-lists")
+    tested = attach(placed.where("host is not null"), lists, "host", "captures", total).withColumn("active", F.coalesce(active, F.array()))
+    tested = tested.drop("captures", "intervals")
+    nothing = F.lit(None).cast(dict(tested.dtypes)["active"])
+    tested = tested.unionByName(placed.where("host is null").withColumn("active", F.coalesce(nothing, F.array())))
     best = F.get("active", F.lit(0))
     return tested.select(
         *[F.col("capture")[c].alias(c) for c in kept], "host", F.size("active").cast("long").alias("n_active"), (F.size("active") > 0).alias("blocked"),
@@ -119,7 +126,8 @@ def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE = r"""
 WITH captures AS (
-  SELECT page_id, nullif(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)), '') AS host,
+  SELECT page_id, nullif(regexp_replace(lower(regexp_extract(
+           url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[0-9A-Fa-f:.]+\]|[^/?#:]+)', 1)), '\.$', ''), '') AS host,
          (page_id * 7919) % 8760 AS fetched
   FROM pages
 ), split_hosts AS (

@@ -97,6 +97,47 @@ def test_surrogates_keep_format_type_and_identity(documents):
     assert words[1].endswith("a") and words[7].endswith("n") and re.fullmatch("[А-Яа-я]+ов", words[10])
 
 
+def test_mentions_of_a_part_of_a_name_get_the_part_of_its_surrogate(documents):
+    rows = [
+        (1, "Mrs. Maria Smith called. Smith said that Maria was ill; Smith's car, Smithson and smith."), (2, "Alice Brown came. Later Alice left, and O. Brown too."),
+        (3, "Smith and Maria alone are no names here."), (4, "Господин Иванов ушёл, Иванов."), (5, "Mr Anne-Marie O'Neil. O'Neil, Marie and Anne-Marie."),
+    ]
+    got = {r["doc_id"]: r["text"] for r in P.pseudonymise(documents(rows)).collect()}
+    first, last = re.match(r"Mrs\. (\w+) (\w+) called", got[1]).groups()
+    assert got[1] == f"Mrs. {first} {last} called. {last} said that {first} was ill; {last}'s car, Smithson and smith."
+    first, last = re.match(r"(\w+) (\w+) came", got[2]).groups()
+    assert got[2] == f"{first} {last} came. Later {first} left, and O. {last} too." and "Alice" != first
+    assert got[3] == rows[2][1]
+    assert re.fullmatch(r"Господин (\w+) ушёл, \1\.", got[4]) and "Иванов" not in got[4]
+    assert not re.search("Neil|Anne", got[5])
+
+
+def test_compressed_addresses_and_secrets_by_case(documents):
+    rows = [(1, "fe80::1 and 2001:db8::1, ::ffff:10a, 2001:DB8:0:0:8:800:200C:417A."), (2, "x[1::2], std::dec, 10:30::, a::b"), (3, "sk-AAAABBBBCCCCDDDDEEEEaaaa sk-aaaabbbbccccddddeeeeaaaa")]
+    got = {r["doc_id"]: r["text"] for r in P.pseudonymise(documents(rows)).collect()}
+    assert re.fullmatch(r"[0-9a-f]{4}::[0-9a-f]{4} and [0-9a-f]{4}:[0-9a-f]{4}::[0-9a-f]{4}, ::[0-9a-f]{4}:[0-9a-f]{4}, ([0-9a-f]{4}:){7}[0-9a-f]{4}\.", got[1])
+    assert got[2] == rows[1][1] and "fe80" not in got[1] and "2001" not in got[1]
+    one, other = got[3].split()
+    assert one.lower() != other.lower() and re.fullmatch("sk-[A-Z]{20}[a-z]{4}", one) and re.fullmatch("sk-[a-z]{24}", other)
+
+
+def test_surrogates_of_a_whole_table_keep_entities_distinct(spark):
+    """Entities found here by other means: as many different surrogates as entities, of one entity always the same, none real."""
+    docs = L.table(spark, "/root/testdata/sf0.01", "documents")
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    kinds = {
+        "mail": r"[\w.%+-]+@[\w-]+(?:\.[\w-]+)+(?<![.-])", "ip": r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d.]*\d)", "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])", "key": r"\bAKIA[0-9A-Z]{16}\b",
+    }
+    given, taken = {}, {}
+    for r in P.pseudonymise(docs).collect():
+        for kind, pattern in kinds.items():
+            before, after = re.findall(pattern, texts[r["doc_id"]]), re.findall(pattern, r["text"] or "")
+            assert len(before) == len(after)
+            for a, b in zip(before, after, strict=True):
+                assert given.setdefault((kind, a.lower()), b.lower()) == b.lower() and taken.setdefault((kind, b.lower()), a.lower()) == a.lower()
+    assert len(given) == len(taken) > 10 and not set(given) & set(taken)
+
+
 def test_clashing_surrogates_are_drawn_again(documents):
     """Forty of the few addresses with one letter and digit: surrogates clash, and stay distinct and unreal."""
     mails = [f"{a}{d}@x.org" for a in "abcdefgh" for d in range(5)] + [f"10.0.0.{k}" for k in range(1, 60)]
@@ -137,12 +178,13 @@ def test_lists_hold_from_addition_to_removal(spark):
         [
             ("Bad.org", "spam", day(2), "add"), ("bad.org", "spam", day(3), "add"), ("bad.org", "spam", day(5), "remove"), ("bad.org", "spam", day(6), "remove"),
             ("bad.org", "spam", day(9), "add"), ("a.bad.org", None, day(4), "add"), ("tie.org", "x", day(4), "add"), ("tie.org", "x", day(4), "remove"),
-            (None, "spam", day(1), "add"), ("late.org", "x", None, "add"), ("odd.org", "x", day(1), "other"),
+            ("[2001:db8::1]", "spam", day(1), "add"), (None, "spam", day(1), "add"), ("late.org", "x", None, "add"), ("odd.org", "x", day(1), "other"),
         ],
         "entry string, category string, at timestamp, action string",
     )
     captures = spark.createDataFrame(
         [
+            ("http://[2001:DB8::1]:8080/x", day(4)), ("http://BAD.ORG./", day(4)), ("http://u:p@bad.org.:81?x", day(4)),
             ("http://bad.org/1", day(1)), ("http://BAD.org/2", day(2)), ("http://www.bad.org:80/", day(4)), ("http://bad.org", day(5)), ("http://x.a.bad.org", day(10)),
             ("http://notbad.org", day(4)), ("no url", day(4)), (None, day(4)), ("http://bad.org/late", None), ("http://tie.org", day(4)), ("http://bad.org/1", day(1)),
         ],
@@ -152,12 +194,22 @@ def test_lists_hold_from_addition_to_removal(spark):
     found = Counter((r["url"], r["n_active"], r["entry"]) for r in got)
     assert found == Counter(
         [
+            ("http://[2001:DB8::1]:8080/x", 1, "[2001:db8::1]"), ("http://BAD.ORG./", 1, "bad.org"), ("http://u:p@bad.org.:81?x", 1, "bad.org"),
             ("http://bad.org/1", 0, None), ("http://BAD.org/2", 1, "bad.org"), ("http://www.bad.org:80/", 1, "bad.org"), ("http://bad.org", 0, None),
             ("http://x.a.bad.org", 2, "a.bad.org"), ("http://notbad.org", 0, None), ("no url", 0, None), (None, 0, None), ("http://bad.org/late", 0, None),
             ("http://tie.org", 1, "tie.org"), ("http://bad.org/1", 0, None),
         ]
     )
     assert U.judge(captures.limit(0), U.validity(events.limit(0))).count() == 0
+    hosts = captures.select("url", U.host_of(F.col("url")).alias("host")).where("url like '%2001%' or url like '%BAD.ORG.%'").collect()
+    assert sorted(r["host"] for r in hosts) == ["[2001:db8::1]", "bad.org"]
+
+
+def test_a_host_with_most_captures_keeps_each(spark):
+    events = spark.createDataFrame([("bad.org", "spam", day(2), "add")], "entry string, category string, at timestamp, action string")
+    urls = spark.range(9000).select(F.when(F.col("id") % 3 == 0, F.concat(F.lit("http://h"), "id", F.lit(".net/"))).when(F.col("id") % 3 == 1, "http://www.bad.org/x").alias("url"))
+    got = U.judge(urls.withColumn("fetched_at", F.lit(day(3)).cast("timestamp")), U.validity(events)).groupBy("host", "blocked").count()
+    assert {(r["host"], r["blocked"]): r["count"] for r in got.where("count > 1").collect()} == {("www.bad.org", True): 3000, (None, False): 3000}
 
 
 def test_batches_commit_once_and_broken_ones_do_not_count(spark, tmp_path):
