@@ -106,6 +106,41 @@ def min_cost_flow(patterns: list[tuple[tuple[int, ...], int]], quotas: list[int]
     return given
 
 
+def route(patterns: list[tuple[tuple[int, ...], int]], quotas: list[int], most: int = MAX_REPEATS) -> list[int]:
+    """As ``min_cost_flow``, for each connected part of the graph of patterns and sources apart.
+
+    A source and a pattern that meet nothing else need no search: the pattern gives the quota, if it has so much.
+    """
+    root = list(range(len(quotas)))
+
+    def find(s: int) -> int:
+        while root[s] != s:
+            root[s] = root[root[s]]
+            s = root[s]
+        return s
+
+    for sources, _ in patterns:
+        for s in sources[1:]:
+            root[find(s)] = find(sources[0])
+    parts: dict[int, list[int]] = {}
+    for k, (sources, _) in enumerate(patterns):
+        if sources:
+            parts.setdefault(find(sources[0]), []).append(k)
+    given = [0] * len(patterns)
+    for own in parts.values():
+        sources = sorted({s for k in own for s in patterns[k][0]})
+        if len(own) == len(sources) == 1:
+            given[own[0]] = min(quotas[sources[0]], most * patterns[own[0]][1])
+            continue
+        if len(own) > MAX_PATTERNS:
+            raise ValueError(f"{len(own)} membership patterns share sources; the flow's graph takes {MAX_PATTERNS}")
+        number = {s: i for i, s in enumerate(sources)}
+        found = min_cost_flow([(tuple(number[s] for s in patterns[k][0]), patterns[k][1]) for k in own], [quotas[s] for s in sources], most)
+        for k, words in zip(own, found, strict=True):
+            given[k] = words
+    return given
+
+
 def zone_width(rows: int) -> int:
     """Buckets of a zone: one for large classes, more for small ones, so that a zone has some rows to choose from."""
     return BUCKETS >> max(0, min(BUCKETS, rows // ZONE_ROWS).bit_length() - 1)
@@ -139,8 +174,6 @@ def mix(
     for c in cells:
         members[c["pattern"]] = tuple(dict.fromkeys(c["members"]))
         size_of[c["pattern"]] = size_of.get(c["pattern"], 0) + c["size"]
-    if len(size_of) > MAX_PATTERNS:
-        raise ValueError(f"{len(size_of)} membership patterns; the flow's graph takes {MAX_PATTERNS}")
     sizes: dict[str | None, int] = {}
     for row in keyed.select(F.explode("members").alias("source")).distinct().collect():
         sizes[row["source"]] = 0
@@ -150,7 +183,7 @@ def mix(
     targets = quotas(sizes)
     sources, names = sorted(sizes, key=lambda s: (s is None, s or "")), sorted(size_of)
     number = {s: k for k, s in enumerate(sources)}
-    given = min_cost_flow([(tuple(number[s] for s in members[p]), size_of[p]) for p in names], [round(targets[s]) for s in sources], most)
+    given = route([(tuple(number[s] for s in members[p]), size_of[p]) for p in names], [round(targets[s]) for s in sources], most)
     whole = {p: min(g // size_of[p], most) for p, g in zip(names, given, strict=True)}
     part = {p: g - whole[p] * size_of[p] for p, g in zip(names, given, strict=True)}
 

@@ -1,9 +1,12 @@
+import random
+import re
 from collections import defaultdict
 
 import pytest
 from pyspark.sql import functions as F
 
 from kindred.llm import mixing as X
+from kindred.llm.texts import table
 
 
 def test_targets_are_capped_and_shared_again():
@@ -20,6 +23,53 @@ def test_flow_repeats_as_little_as_quotas_allow():
     assert X.min_cost_flow([], [5]) == [0] * 0
 
 
+def test_parts_of_the_graph_are_routed_apart():
+    """The same cheapest flow, and a source for itself costs no search, however many there are."""
+    rng = random.Random(1)
+    for _ in range(30):
+        quotas = [rng.randint(0, 60) for _ in range(9)]
+        patterns = [(tuple(sorted(rng.sample(range(9), rng.choice([1, 1, 1, 2, 3])))), rng.randint(0, 40)) for _ in range(rng.randint(0, 9))]
+        patterns = list(dict(patterns).items())
+        apart, whole = X.route(patterns, quotas), X.min_cost_flow(patterns, quotas)
+        cost = lambda given: sum(g + max(0, g - size) * 2 for g, (_, size) in zip(given, patterns, strict=True))
+        assert sum(apart) == sum(whole) and cost(apart) == cost(whole) and all(g <= 2 * size for g, (_, size) in zip(apart, patterns, strict=True))
+    many = 200_000
+    assert X.route([((k,), 10) for k in range(many)], [k % 30 for k in range(many)]) == [min(k % 30, 20) for k in range(many)]
+
+
+def test_columns_of_the_registered_query_by_brute_force(spark):
+    """Sizes, source sizes and targets of every document, and how near the words taken come."""
+    sf = "/root/testdata/sf0.01"
+    docs = table(spark, sf, "documents").select("doc_id", "source", "text").collect()
+    size = {r["doc_id"]: len(re.findall(r"[^\x20\x09-\x0D]+", r["text"] or "")) for r in docs}
+    of_source = defaultdict(int)
+    for r in docs:
+        of_source[r["source"]] += size[r["doc_id"]]
+    order = sorted(of_source, key=lambda s: (s is None, s or ""))
+    weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(order)}
+    target, left = {}, 1.5 * sum(of_source.values())
+    while True:  # sources above twice their size stop there, and the rest is shared again
+        rest = [s for s in order if s not in target]
+        share = {s: left * weight[s] / sum(weight[x] for x in rest) for s in rest}
+        above = [s for s in rest if share[s] > 2 * of_source[s]]
+        if not above:
+            target |= share
+            break
+        for s in above:
+            target[s] = 2.0 * of_source[s]
+            left -= target[s]
+    got = X.op8_source_mixing(spark, sf).collect()
+    assert sorted(r["doc_id"] for r in got) == sorted(size)
+    taken = defaultdict(int)
+    for r in got:
+        assert (r["size"], r["source_size"]) == (size[r["doc_id"]], of_source[r["source"]]) and r["target"] == pytest.approx(target[r["source"]])
+        assert r["taken"] in (0, r["size"], 2 * r["size"])
+        taken[r["source"]] += r["taken"]
+    assert all(taken[s] == pytest.approx(target[s], rel=0.01) for s in target)
+    again = {r["doc_id"]: r["taken"] for r in X.op8_source_mixing(spark, sf).collect()}
+    assert again == {r["doc_id"]: r["taken"] for r in got}
+
+
 def documents_of(spark, n=4000):
     ids = spark.range(n)
     return ids.select(
