@@ -6,6 +6,7 @@ from kindred import defaults as D
 from kindred.functions.hashing import MIX_RANGE, PRIME, coefficients, mix_sql
 from kindred.functions.words import PUNCTUATION
 from kindred.plans.catalog import LSH_PLAN, LSH_ROWS, RARE_SHARE, SEARCH_TEXT, STOPWORDS
+from kindred.plans.tables import DOCUMENTS_PER_ITEM, DOCUMENTS_PER_USER, LEAST_ITEMS, LEAST_USERS
 
 MIX = mix_sql("user_id", "item_id")
 TEST_BOUND = int(D.TEST_SHARE * MIX_RANGE)
@@ -24,12 +25,14 @@ ratings AS (SELECT user_id, item_id, avg(stars) AS rating FROM purchases GROUP B
 SPLIT = RATINGS + f""",
 train AS (SELECT * FROM ratings WHERE {MIX} >= {TEST_BOUND}),
 test AS (SELECT * FROM ratings WHERE {MIX} < {TEST_BOUND})"""
-REVIEWS = """reviews AS (
-  SELECT doc_id % 97 AS user_id, (doc_id * 7919) % 61 AS item_id,
+USERS = f"(SELECT {LEAST_USERS} + count(*) // {DOCUMENTS_PER_USER} FROM documents)"
+ITEMS = f"(SELECT {LEAST_ITEMS} + count(*) // {DOCUMENTS_PER_ITEM} FROM documents)"
+REVIEWS = f"""reviews AS (
+  SELECT doc_id % {USERS} AS user_id, (doc_id * 7919) % {ITEMS} AS item_id,
          CAST(1 + (doc_id * 31) % 5 AS DOUBLE) AS stars, text
   FROM documents)"""
-REVIEW_PAIRS = """review_pairs AS (
-  SELECT DISTINCT doc_id % 101 AS user_id, (doc_id * 104729) % 64 AS item_id FROM documents)"""
+REVIEW_PAIRS = f"""review_pairs AS (
+  SELECT DISTINCT doc_id % ({USERS} + 4) AS user_id, (doc_id * 104729) % ({ITEMS} + 3) AS item_id FROM documents)"""
 
 
 def moments(source: str, key: str, member: str, name: str, min_support: int = D.MIN_CO_RATED) -> str:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kindred.operators.ratings import hash_split, ratings_table
@@ -32,12 +32,25 @@ def split_ratings(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
     return hash_split(ratings(spark, sf_dir))
 
 
+# Users and items that the reviews have at least, and documents for each further one.
+LEAST_USERS, DOCUMENTS_PER_USER = 97, 50
+LEAST_ITEMS, DOCUMENTS_PER_ITEM = 61, 80
+
+
+def _numbers(docs: DataFrame) -> tuple[Column, Column]:
+    """How many users and items the reviews have, as scalar subqueries: they grow with the documents."""
+    rows = docs.agg(F.count(F.lit(1)).alias("n"))
+    users = rows.select(F.lit(LEAST_USERS) + F.floor(F.col("n") / DOCUMENTS_PER_USER)).scalar()
+    return users, rows.select(F.lit(LEAST_ITEMS) + F.floor(F.col("n") / DOCUMENTS_PER_ITEM)).scalar()
+
+
 def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Text reviews: each document is a review by one of 97 users of one of 61 items."""
-    doc = F.col("doc_id")
-    return table(spark, sf_dir, "documents").select(
-        (doc % 97).alias("user_id"),
-        ((doc * 7919) % 61).alias("item_id"),
+    """Text reviews: each document is a review by one user of one item."""
+    docs, doc = table(spark, sf_dir, "documents"), F.col("doc_id")
+    users, items = _numbers(docs)
+    return docs.select(
+        (doc % users).alias("user_id"),
+        ((doc * 7919) % items).alias("item_id"),
         (1 + (doc * 31) % 5).cast("double").alias("stars"),
         "text",
     )
@@ -48,13 +61,10 @@ def review_ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def review_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(user, item) pairs to score; items 61 to 63 and users 97 to 100 have no reviews."""
-    doc = F.col("doc_id")
-    return (
-        table(spark, sf_dir, "documents")
-        .select((doc % 101).alias("user_id"), ((doc * 104729) % 64).alias("item_id"))
-        .distinct()
-    )
+    """(user, item) pairs to score; three items and four users among them have no reviews."""
+    docs, doc = table(spark, sf_dir, "documents"), F.col("doc_id")
+    users, items = _numbers(docs)
+    return docs.select((doc % (users + 4)).alias("user_id"), ((doc * 104729) % (items + 3)).alias("item_id")).distinct()
 
 
 def item_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
