@@ -1,6 +1,8 @@
 import json
 import os
 
+import pytest
+
 from kindred import defaults as D
 from kindred.sources import tables as IO
 
@@ -56,3 +58,37 @@ def test_stopwords(spark, tmp_path):
 def test_views(spark):
     IO.register_views(some_users=spark.range(3))
     assert spark.sql("SELECT count(*) FROM some_users").first()[0] == 3
+
+
+ODD_KEYS = ["plain", "a,b", "a, \"b\": 3,c", "ends,", ",starts", "back\\", "x,\\", "{brace", "tail}", "colon: 5", "line\nfeed", "\u00e9lan", "", "many,commas,in,one,key", ", \"", "\\\",\\"]
+
+
+@pytest.mark.parametrize(("separators", "block"), [((", ", ": "), 1 << 20), ((",", ":"), 1 << 20), ((", ", ": "), 64), ((",", ":"), 23)])
+def test_maps_of_any_keys_read_in_any_splits(spark, tmp_path, separators, block):
+    """Commas, quotes, colons and braces in ids, lines of one and many entries, and splits inside all of them."""
+    first = {k: i / 4 for i, k in enumerate(ODD_KEYS)}
+    second = {f"u{k},{'x' * (k % 40)}" if k % 7 == 0 else f"u{k}": -1.5 * k for k in range(200)} | {"tiny": 1e-7, "large": 2.5e11}
+    text = "\n".join(json.dumps(m, separators=separators, ensure_ascii=False) for m in (first, {}, second, {"one": 1.0})) + "\n"
+    (tmp_path / "map.json").write_text(text, encoding="utf-8")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(block))
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        read = IO.read_average_map(spark, str(tmp_path / "map.json"), "user_id")
+        got = read.collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert len(got) == len(first) + len(second) + 1
+    assert {r["user_id"]: r["average_stars"] for r in got} == first | second | {"one": 1.0}
+
+
+def test_one_long_line_is_read_by_many_tasks(spark, tmp_path):
+    (tmp_path / "map.json").write_text(json.dumps({f"user {k}": k / 8 for k in range(200_000)}))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(1 << 18))
+    try:
+        raw = spark.read.option("lineSep", ",").text(str(tmp_path / "map.json"))
+        assert raw.rdd.getNumPartitions() > 8
+        sums = IO.read_average_map(spark, str(tmp_path / "map.json"), "user_id").selectExpr("count(*)", "count(DISTINCT user_id)", "sum(average_stars)").first()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert tuple(sums) == (200_000, 200_000, sum(range(200_000)) / 8)
