@@ -21,6 +21,7 @@ from kindred.operators import similarity as S
 from kindred.operators import text as X
 from kindred.operators.features import TextFeatures, WordWeights, cleaner, words_of
 from kindred.operators.ids import dense_index, with_index
+from kindred.operators.keyword_index import KeywordIndex
 from kindred.operators.vector_index import VectorIndex
 from kindred.operators.vectors import similar_items
 from kindred.plans import tables as T
@@ -195,6 +196,17 @@ def lsh_confirmed_recall(spark, sf):
     return E.recall(S.item_jaccard(ratings), S.item_jaccard(ratings, lsh=False), "b1", "b2")
 
 
+def lsh_sampled_recall(spark, sf):
+    """Whether a recall estimated from a fifth of the items has the exact one between its bounds."""
+    baskets = _ratings(spark, sf).select("item_id", "user_id")
+    profiles = materialize(M.minhash_signatures(baskets, "item_id", "user_id", hashes=LSH_PLAN.rows * LSH_PLAN.bands), "signatures")
+    found = materialize(M.lsh_candidates(profiles, "item_id", LSH_PLAN.rows), "candidates")
+    exact = E.recall(found, S.jaccard_pairs(baskets, "item_id", "user_id", D.MIN_JACCARD_ITEMS), "a", "b").select("n_exact", F.col("recall").alias("true_recall"))
+    estimate = E.sampled_recall(found, baskets, "item_id", "user_id", D.MIN_JACCARD_ITEMS, 0.2, z=4.0)
+    inside = (F.col("low") <= F.col("true_recall")) & (F.col("true_recall") <= F.col("high"))
+    return estimate.drop("n_exact").join(F.broadcast(exact)).select("n_exact", "true_recall", inside.alias("inside"))  # one row each
+
+
 def item_predict(spark, sf):
     train, test = _split(spark, sf)
     return P.predict_item_based(materialize(S.item_similarity(train), "item-model"), train, test)
@@ -282,6 +294,12 @@ def keyword_search(spark, sf):
     return C.keyword_search(SEARCH_TEXT, materialize(_profiles(spark, sf), "item-profiles"))
 
 
+def keyword_index_search(spark, sf):
+    """The same search in an index of the profiles' words."""
+    index = KeywordIndex.build(_profiles(spark, sf), scratch_path(spark, "keyword-index"))
+    return index.search(SEARCH_TEXT)
+
+
 # --- vectors -------------------------------------------------------------------------------------
 
 
@@ -573,6 +591,7 @@ def queries() -> dict[str, Query]:
         "lsh_user_pearson": lsh_user_pearson,
         "lsh_recall": _lsh_recall("item_id", "user_id"),
         "lsh_user_recall": _lsh_recall("user_id", "item_id"),
+        "lsh_sampled_recall": lsh_sampled_recall,
         "lsh_co_raters": lsh_co_raters,
         "lsh_user_pearson_search": lsh_user_pearson_search,
         "lsh_confirmed_recall": lsh_confirmed_recall,
@@ -593,6 +612,7 @@ def queries() -> dict[str, Query]:
         "vocab_index": vocab_index,
         "content_scores": content_scores,
         "keyword_search": keyword_search,
+        "keyword_index_search": keyword_index_search,
         "vector_cosine_topn": vector_cosine_topn,
         "content_recommend": content_recommend,
         "item_details": item_details,

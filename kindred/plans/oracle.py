@@ -119,14 +119,18 @@ def jaccard(entity: str, member: str) -> str:
 JACCARD = jaccard("item_id", "user_id")
 
 
-def lsh_recall(entity: str, member: str) -> str:
+COST = """count(c.a) AS n_found, count(*) AS n_exact, round(count(c.a) / count(*), 6) AS recall,
+  (SELECT CAST(sum(n * (n - 1) // 2) AS BIGINT) FROM (SELECT count(*) AS n FROM candidates_bands GROUP BY band, bucket)) AS n_bucket_pairs,
+  (SELECT CAST(sum(n * (n - 1) // 2) AS BIGINT) FROM (SELECT count(*) AS n FROM ratings GROUP BY {member})) AS n_join_pairs"""
+SAMPLED = "count(*) AS n_exact, round(count(c.a) / count(*), 6) AS true_recall, true AS inside"
+
+
+def lsh_recall(entity: str, member: str, columns: str = COST) -> str:
+    """Of the pairs above the threshold those that the planned bands find, with ``columns`` over both."""
     bands = f"planned AS (SELECT * FROM sigs WHERE k < {LSH_PLAN.rows * LSH_PLAN.bands})"
     return query(
         RATINGS, jaccard(entity, member), signatures("ratings", entity, member, "sigs"), bands, banded_pairs_of("planned", "candidates", LSH_PLAN.rows),
-        select=f"""SELECT count(c.a) AS n_found, count(*) AS n_exact, round(count(c.a) / count(*), 6) AS recall,
-  (SELECT CAST(sum(n * (n - 1) // 2) AS BIGINT) FROM (SELECT count(*) AS n FROM candidates_bands GROUP BY band, bucket)) AS n_bucket_pairs,
-  (SELECT CAST(sum(n * (n - 1) // 2) AS BIGINT) FROM (SELECT count(*) AS n FROM ratings GROUP BY {member})) AS n_join_pairs
-FROM exact e LEFT JOIN candidates c ON c.a = e.a AND c.b = e.b""",
+        select=f"SELECT {columns.format(member=member)} FROM exact e LEFT JOIN candidates c ON c.a = e.a AND c.b = e.b",
     )
 
 
@@ -267,6 +271,17 @@ def oracle_sql() -> dict[str, str]:
     item_pearson = query(RATINGS, item_model("ratings"), select="SELECT a AS b1, b AS b2, sim FROM item_model")
     liked = query(PURCHASES, select=f"SELECT DISTINCT user_id, item_id FROM purchases WHERE stars >= {D.LIKED_FROM}")
     reviewed = (REVIEWS, CONTENT)
+    keyword_search = query(
+        PROFILES,
+        f"asked_text AS (SELECT {text_literal(SEARCH_TEXT)} AS text)",
+        token_rows("asked_text", "", "asked_words", stop=False),
+        "asked AS (SELECT DISTINCT word FROM asked_words)",
+        "ni AS (SELECT item_id, count(*) AS n FROM profile GROUP BY item_id)",
+        select="""SELECT p.item_id, count(*) AS n_matched,
+           round(count(*) / sqrt(CAST(any_value(ni.n) * (SELECT count(*) FROM asked) AS DOUBLE)), 6) AS score
+FROM profile p JOIN asked a ON a.word = p.word JOIN ni ON ni.item_id = p.item_id
+GROUP BY p.item_id ORDER BY score DESC, p.item_id LIMIT 10""",
+    )
     return {
         "ratings_utility": query(RATINGS, select="SELECT user_id, item_id, round(rating, 6) AS rating FROM ratings"),
         "user_avg": average("user_id"),
@@ -329,6 +344,7 @@ FROM ratings r JOIN u ON u.user_id = r.user_id JOIN i ON i.item_id = r.item_id""
         ),
         "lsh_recall": lsh_recall("item_id", "user_id"),
         "lsh_user_recall": lsh_recall("user_id", "item_id"),
+        "lsh_sampled_recall": lsh_recall("item_id", "user_id", SAMPLED),
         "lsh_co_raters": query(
             RATINGS, signatures("ratings", "user_id", "item_id", "sigs"), banded("sigs", "candidates"),
             moments("ratings", "item_id", "user_id", "m"),
@@ -438,17 +454,8 @@ FROM (SELECT DISTINCT word FROM profile)""",
   JOIN ni ON ni.item_id = q.item_id JOIN nu ON nu.user_id = q.user_id GROUP BY q.user_id, q.item_id)""",
             select=f"SELECT user_id, item_id, round(sim, 6) AS sim FROM scored WHERE sim >= {D.MIN_COSINE}",
         ),
-        "keyword_search": query(
-            PROFILES,
-            f"asked_text AS (SELECT {text_literal(SEARCH_TEXT)} AS text)",
-            token_rows("asked_text", "", "asked_words", stop=False),
-            "asked AS (SELECT DISTINCT word FROM asked_words)",
-            "ni AS (SELECT item_id, count(*) AS n FROM profile GROUP BY item_id)",
-            select="""SELECT p.item_id, count(*) AS n_matched,
-       round(count(*) / sqrt(CAST(any_value(ni.n) * (SELECT count(*) FROM asked) AS DOUBLE)), 6) AS score
-FROM profile p JOIN asked a ON a.word = p.word JOIN ni ON ni.item_id = p.item_id
-GROUP BY p.item_id ORDER BY score DESC, p.item_id LIMIT 10""",
-        ),
+        "keyword_search": keyword_search,
+        "keyword_index_search": keyword_search,
         "vector_cosine_topn": query(*reviewed, select="SELECT seed_id, item_id, score, rank FROM near"),
         "content_recommend": query(*reviewed, select="SELECT user_id, item_id, score, rank FROM content"),
         "item_details": query(

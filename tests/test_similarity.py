@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 import brute
 from kindred.operators import pairs as P
 from kindred.operators import similarity as S
-from kindred.operators.evaluate import recall
+from kindred.operators.evaluate import recall, sampled_recall
 from kindred.operators.minhash import BandPlan, bucket_sizes, lsh_buckets, lsh_candidates, minhash_signatures, plan_bands, signature_rows
 
 PLAN = BandPlan(2, 25, 0.0)
@@ -176,6 +176,7 @@ def test_one_user_with_a_third_of_all_rows(spark):
 def test_prefix_index_leaves_out_the_most_frequent_members_only(rated, threshold, spread):
     """Whatever a basket may spare of its members goes, and every similar pair still shares one that is left."""
     rows = brute.random_ratings(21, users=200, items=60, per_user=6) + [(u, i, 1.0) for u in (900, 901) for i in range(0, 60, spread)]
+    rows += [(1000 + 80 * g + k, i, 1.0) for g in range(10) for k in range(80) for i in (2 * g, 2 * g + 1)]
     rows = list({(u, i): (u, i, r) for u, i, r in rows}.values())
     kept = {}
     for r in S.prefix_index(rated(rows), "item_id", "user_id", threshold).collect():
@@ -238,3 +239,18 @@ def test_a_search_is_made_where_it_pays(rated, monkeypatch):
     assert found.exceptAll(exact).count() == 0
     few = rated(brute.random_ratings(23, users=60, items=40, per_user=8))
     assert S.item_jaccard_search(few).exceptAll(S.item_jaccard(few, lsh=False)).count() == 0 and len(searched) == 1
+
+
+def test_recall_of_a_sample_holds_the_true_one(rated):
+    """Over 20 samples of the entities; and all entities sampled give the exact recall."""
+    rows = brute.random_ratings(31, users=150, items=120, per_user=9, hot_user=False)
+    table = rated(rows).select("item_id", "user_id").cache()
+    exact = S.jaccard_pairs(table, "item_id", "user_id", 0.05).cache()
+    found = exact.where(F.pmod(F.xxhash64("a", "b"), F.lit(10)) < 7).select("a", "b").cache()
+    true = found.count() / exact.count()
+    whole = sampled_recall(found, table, "item_id", "user_id", 0.05, 1.0).first()
+    assert whole["recall"] == round(true, 6) and whole["n_exact"] == 2 * exact.count() and whole["n_sampled"] == 120
+    held = [sampled_recall(found, table, "item_id", "user_id", 0.05, 0.3, z=3.0, seed=k).first() for k in range(20)]
+    assert all(r["low"] <= true <= r["high"] and r["high"] - r["low"] < 0.3 for r in held) and len({r["recall"] for r in held}) > 10
+    none = sampled_recall(found, table, "item_id", "user_id", 0.05, 0.0).first()
+    assert none["n_sampled"] == 0 and none["recall"] is None and none["low"] is None

@@ -8,6 +8,7 @@ from hypothesis import strategies as st
 from brute import words_of
 from kindred.operators import content as C
 from kindred.operators import text as X
+from kindred.operators.keyword_index import KeywordIndex
 
 TEXTS = [
     "Don't stop: élan vital, 5 of ½ x ÀÉ",
@@ -95,3 +96,25 @@ def test_keyword_search_ranks_by_match(spark):
     )
     got = C.keyword_search("Noodle, BROTH!", profiles).collect()
     assert [(r["item_id"], r["n_matched"], r["score"]) for r in got] == [(1, 2, 1.0), (2, 1, 0.707107)]
+
+
+@pytest.mark.parametrize("file_rows", [5_000_000, 4])
+def test_a_keyword_index_finds_what_the_profiles_have(spark, tmp_path, file_rows):
+    words = [(i, f"word{w}") for i in range(60) for w in range(40) if (i * w + i) % 5 == 0 or w == 3]
+    profiles = spark.createDataFrame(words, "item_id bigint, word string")
+    index = KeywordIndex.build(profiles, str(tmp_path / "index"), buckets=16, file_rows=file_rows)
+    for query in ("word3, WORD7!", "word1 word2 word39 unknown", "nothing here", ""):
+        expected = C.keyword_search(query, profiles, 12).collect()
+        assert index.search(query, 12).collect() == expected
+    assert index.postings.count() == len(words)
+
+
+def test_a_search_reads_the_files_of_its_words(spark, tmp_path):
+    profiles = spark.createDataFrame([(i, f"word{w}") for i in range(30) for w in range(200)], "item_id bigint, word string")
+    index = KeywordIndex.build(profiles, str(tmp_path / "index"), buckets=64)
+    files = index.postings.inputFiles()
+    found = index.postings_of(["word5", "word77"])
+    plan = found._jdf.queryExecution().executedPlan()
+    found.collect()
+    scan = [x for x in [plan] if x][0].collectLeaves().apply(0)
+    assert len(files) >= 60 and scan.metrics().apply("numFiles").value() <= 2 and found.count() == 60
