@@ -19,6 +19,12 @@ PAIRS_PER_TASK = 4_000_000
 SALTS = 16
 
 
+def with_marks(rows: DataFrame, marks: DataFrame, key: Sequence[str], spread_by: str) -> DataFrame:
+    """``rows`` left-joined with ``marks`` (one row for some keys); the rows of a key meet its mark in several places."""
+    salted = rows.withColumn("__salt", F.pmod(F.xxhash64(spread_by), F.lit(SALTS)).cast("int"))
+    return salted.join(marks.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), [*key, "__salt"], "left").drop("__salt")
+
+
 def pairs_within(
     rows: DataFrame,
     key: Sequence[str],
@@ -40,8 +46,7 @@ def pairs_within(
         .select(*key, F.ceil(F.col("__n") / block_rows).cast("int").alias("__blocks"))
     )
     tagged = (
-        rows.select(*key, member, *carry)
-        .join(large, key, "left")
+        with_marks(rows.select(*key, member, *carry), large, key, member)
         .withColumn("__last", F.coalesce(F.col("__blocks"), F.lit(1)) - 1)
         .withColumn("__own", F.pmod(F.xxhash64(member), F.col("__last") + 1).cast("int"))
     )
@@ -76,12 +81,6 @@ def pairs_within(
     return joined.select(*key, *columns)
 
 
-def with_marks(rows: DataFrame, marks: DataFrame, key: Sequence[str], spread_by: str) -> DataFrame:
-    """``rows`` left-joined with ``marks`` (one row for some keys); the rows of a key meet its mark in several places."""
-    salted = rows.withColumn("__salt", F.pmod(F.xxhash64(spread_by), F.lit(SALTS)).cast("int"))
-    return salted.join(marks.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), [*key, "__salt"], "left").drop("__salt")
-
-
 def exact_pairs(rows: DataFrame, key: str) -> int:
     """How many pairs a join of ``rows`` with itself on ``key`` makes."""
     n = F.count(F.lit(1)).cast("double")
