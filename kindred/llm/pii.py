@@ -278,8 +278,9 @@ def pseudonymise(docs: DataFrame, key: str = KEY, doc_id: str = "doc_id", text:
     known = F.array_remove("genders", "x")
     settled = genders.withColumn("e", F.col("e").withField("gender", F.when(F.size(known) == 1, known[0]).otherwise("x")))
     # Drawing surrogates is the work; the few bytes of the entities would else be written, and then drawn for, by one task.
+    # Dealt by a hash of the key: by the key itself they are dealt already, and Spark would leave the step out.
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    entities = materialize(settled.withColumn("mixed", F.size("genders") > 1).repartition(tasks, "kind", "normal"), "entities")
+    entities = materialize(settled.withColumn("mixed", F.size("genders") > 1).repartition(tasks, F.xxhash64("kind", "normal")), "entities")
     drawn = redraws(entities.drop("mixed"), key)
     # What a text does not know by itself: another draw than the first, or the gender of a name met with several.
     again = (
