@@ -203,8 +203,10 @@ def lsh_sampled_recall(spark, sf):
     found = materialize(M.lsh_candidates(profiles, "item_id", LSH_PLAN.rows), "candidates")
     exact = E.recall(found, S.jaccard_pairs(baskets, "item_id", "user_id", D.MIN_JACCARD_ITEMS), "a", "b").select("n_exact", F.col("recall").alias("true_recall"))
     estimate = E.sampled_recall(found, baskets, "item_id", "user_id", D.MIN_JACCARD_ITEMS, 0.2, z=4.0)
-    inside = (F.col("low") <= F.col("true_recall")) & (F.col("true_recall") <= F.col("high"))
-    return estimate.drop("n_exact").join(F.broadcast(exact)).select("n_exact", "true_recall", inside.alias("inside"))  # one row each
+    exact = materialize(exact, "exact-recall")  # one row
+    true = exact.select("true_recall").scalar()
+    inside = (F.col("low") <= true) & (true <= F.col("high"))
+    return estimate.select(exact.select("n_exact").scalar().alias("n_exact"), true.alias("true_recall"), inside.alias("inside"))
 
 
 def item_predict(spark, sf):
