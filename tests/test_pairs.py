@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from brute import by, random_ratings
-from kindred.operators.pairs import meet, pairs_within, symmetrise
+from kindred.operators.pairs import PAIRS_PER_TASK, meet, pairs_within, symmetrise
 
 
 @pytest.mark.parametrize("block_rows", [3, 7, 2048])
@@ -40,3 +40,8 @@ def test_symmetrise(spark):
     model = spark.createDataFrame([(1, 2, 0.5)], "b1 bigint, b2 bigint, sim double")
     both = symmetrise(model, "b1", "b2", "item_id", "other")
     assert sorted(map(tuple, both.collect())) == [(1, 2, 0.5), (2, 1, 0.5)]
+
+
+def test_a_counting_task_stays_small():
+    """About 270 bytes a pair (872 MB for 3.3 million, measured): a task of a large table takes no more than 300 MB."""
+    assert PAIRS_PER_TASK * 270 <= 300e6
