@@ -38,4 +38,5 @@ def split_words(text: Column) -> Column:
 
 
 def is_number(word: Column) -> Column:
-    return word.rlike(NUMBER)
+    """Whether a word is all numerals; what starts with a letter from a to z is not matched against the pattern."""
+    return ~((word >= "a") & (word < "{")) & word.rlike(NUMBER)

@@ -4,8 +4,10 @@ from math import log2, sqrt
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from brute import words_of
+from kindred.functions.words import is_number
 from kindred.operators import content as C
 from kindred.operators import text as X
 from kindred.operators.keyword_index import KeywordIndex
@@ -118,3 +120,21 @@ def test_a_search_reads_the_files_of_its_words(spark, tmp_path):
     found.collect()
     scan = [x for x in [plan] if x][0].collectLeaves().apply(0)
     assert len(files) >= 60 and scan.metrics().apply("numFiles").value() <= 2 and found.count() == 60
+
+
+def test_what_is_a_number(spark):
+    rows = [("12", True), ("a1", False), ("z", False), ("1a", False), ("{", False), ("é1", False), ("٣", True), ("Ⅷ", True), ("", False), ("A", False)]
+    df = spark.createDataFrame(rows, "word string, expected boolean")
+    assert df.where(is_number(F.col("word")) != F.col("expected")).count() == 0
+
+
+def test_rare_words_are_left_out_in_one_join(spark, monkeypatch):
+    """Profiles without rare words equal those counted without them, and no table is joined with the rare words by item."""
+    rows = [(1, 1, "aa aa bb cc"), (1, 2, "aa bb dd dd"), (2, 3, "cc ee bb")]
+    reviews = spark.createDataFrame(rows, "user_id bigint, item_id bigint, text string")
+    joined = []
+    monkeypatch.setattr(X, "without_rare", lambda *a: joined.append(1))
+    got = {(r["item_id"], r["word"]): r["tfidf"] for r in X.item_profiles(reviews, rare_share=0.15).collect()}
+    log = log2
+    expected = {(1, "aa"): 2 / 4 * log(3 / 2), (1, "bb"): 0.0, (1, "cc"): log(3 / 2) / 4, (2, "aa"): log(3 / 2) / 4, (2, "bb"): 0.0, (2, "dd"): 2 / 4 * log(3), (3, "cc"): log(3 / 2) / 2, (3, "bb"): 0.0}
+    assert got == pytest.approx(expected, abs=1e-9) and not joined
