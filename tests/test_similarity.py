@@ -7,6 +7,8 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import brute
+from kindred.functions.hashing import PRIME, coefficients
+from kindred.operators import minhash as M
 from kindred.operators import pairs as P
 from kindred.operators import similarity as S
 from kindred.operators.evaluate import recall, sampled_recall
@@ -254,3 +256,16 @@ def test_recall_of_a_sample_holds_the_true_one(rated):
     assert all(r["low"] <= true <= r["high"] and r["high"] - r["low"] < 0.3 for r in held) and len({r["recall"] for r in held}) > 10
     none = sampled_recall(found, table, "item_id", "user_id", 0.05, 0.0).first()
     assert none["n_sampled"] == 0 and none["recall"] is None and none["low"] is None
+
+
+def test_signatures_with_and_without_large_entities(spark, monkeypatch):
+    """Members are shuffled, not partial signatures, except those of large entities; both say the same."""
+    rows = [(e, m) for e in range(30) for m in range(e, e + 5)] + [(99, m) for m in range(200)]
+    baskets = spark.createDataFrame(rows, "item_id bigint, user_id bigint")
+    plain = minhash_signatures(baskets, "item_id", "user_id")
+    assert "REPARTITION_BY_COL" in plain._jdf.queryExecution().toString()
+    expected = {r["item_id"]: (r["n_members"], r["signature"]) for r in plain.collect()}
+    by_hand = [min((m * a + b) % PRIME for m in range(200)) for a, b in coefficients()]
+    assert expected[99] == (200, by_hand) and expected[3][0] == 5
+    monkeypatch.setattr(M, "BLOCK_ROWS", 50)
+    assert {r["item_id"]: (r["n_members"], r["signature"]) for r in minhash_signatures(baskets, "item_id", "user_id").collect()} == expected
