@@ -138,3 +138,17 @@ def test_rare_words_are_left_out_in_one_join(spark, monkeypatch):
     log = log2
     expected = {(1, "aa"): 2 / 4 * log(3 / 2), (1, "bb"): 0.0, (1, "cc"): log(3 / 2) / 4, (2, "aa"): log(3 / 2) / 4, (2, "bb"): 0.0, (2, "dd"): 2 / 4 * log(3), (3, "cc"): log(3 / 2) / 2, (3, "bb"): 0.0}
     assert got == pytest.approx(expected, abs=1e-9) and not joined
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def repeated_reviews(spark):
+    return spark.createDataFrame([(k % 3, k % 4, f"alpha beta word{k % 5} the 12") for k in range(24)], "user_id long, item_id long, text string")
+
+
+def test_profiles_look_the_idf_up_in_a_hash_table(spark):
+    items = X.item_profiles(repeated_reviews(spark), X.stopword_table(spark, ["the"]))
+    assert "ShuffledHashJoin [word" in plan_of(items)
+    assert {r["word"] for r in items.collect()} == {"alpha", "beta", *(f"word{k}" for k in range(5))}
