@@ -152,3 +152,10 @@ def test_profiles_look_the_idf_up_in_a_hash_table(spark):
     items = X.item_profiles(repeated_reviews(spark), X.stopword_table(spark, ["the"]))
     assert "ShuffledHashJoin [word" in plan_of(items)
     assert {r["word"] for r in items.collect()} == {"alpha", "beta", *(f"word{k}" for k in range(5))}
+
+
+def test_scores_look_the_users_words_up_in_a_hash_table(spark):
+    reviews = repeated_reviews(spark)
+    items = X.item_profiles(reviews)
+    scores = C.content_scores(reviews.select("user_id", "item_id"), items, X.user_profiles(reviews, items))
+    assert "ShuffledHashJoin [user_id" in plan_of(scores)
