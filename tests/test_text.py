@@ -10,6 +10,7 @@ from brute import words_of
 from kindred.functions.words import is_number
 from kindred.operators import content as C
 from kindred.operators import text as X
+from kindred.operators.features import WordWeights
 from kindred.operators.keyword_index import KeywordIndex
 
 TEXTS = [
@@ -159,3 +160,10 @@ def test_scores_look_the_users_words_up_in_a_hash_table(spark):
     items = X.item_profiles(reviews)
     scores = C.content_scores(reviews.select("user_id", "item_id"), items, X.user_profiles(reviews, items))
     assert "ShuffledHashJoin [user_id" in plan_of(scores)
+
+
+def test_tfidf_of_written_counts_equals_that_of_words(spark):
+    words = spark.createDataFrame([(k % 3, ["alpha", f"w{k % 4}", "alpha"]) for k in range(12)], "item_id long, words array<string>")
+    fitted = WordWeights.fit(words)
+    rows = lambda df: sorted(tuple(r) for r in df.collect())
+    assert rows(fitted.tfidf(counts=fitted.known)) == rows(fitted.tfidf(words)) != []
