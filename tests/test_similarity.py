@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 import brute
 from kindred.functions.hashing import PRIME, coefficients
+from kindred.operators import evaluate
 from kindred.operators import minhash as M
 from kindred.operators import pairs as P
 from kindred.operators import similarity as S
@@ -269,3 +270,32 @@ def test_signatures_with_and_without_large_entities(spark, monkeypatch):
     assert expected[99] == (200, by_hand) and expected[3][0] == 5
     monkeypatch.setattr(M, "BLOCK_ROWS", 50)
     assert {r["item_id"]: (r["n_members"], r["signature"]) for r in minhash_signatures(baskets, "item_id", "user_id").collect()} == expected
+
+
+def test_found_pairs_are_compared_before_they_are_shuffled(spark, monkeypatch):
+    """Of many found pairs only those with the hash of an exact one are left, whatever the ids' type; the recall is the same."""
+    exact = spark.range(40).select(F.col("id").alias("a"), (F.col("id") * 3 + 100).alias("b"))
+    found = spark.range(200).select(F.explode(F.sequence(F.lit(100), F.lit(219))).alias("b"), (F.col("id") % 50).cast("int").alias("a")).where("a % 4 > 0").distinct()
+    want = (30, 40, 0.75)
+    written = exact.localCheckpoint()
+    assert 30 <= evaluate.likely_hits(found, written, "a", "b").count() < 60 < found.count()
+    plan = evaluate.likely_hits(found, written, "a", "b")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Aggregate [") < plan.index("Join LeftSemi")
+    assert tuple(evaluate.recall(found, exact, "a", "b").first()) == want
+    monkeypatch.setattr(evaluate, "MOST_PAIRS", 39)
+    assert evaluate.likely_hits(found, written, "a", "b").count() == found.count()
+    assert tuple(evaluate.recall(found, exact, "a", "b").first()) == want
+
+
+def test_models_of_the_same_pairs_make_them_once(spark, rated, monkeypatch):
+    from kindred.plans import catalog
+
+    ratings = rated(brute.random_ratings(31, users=60, items=30, per_user=8))
+    want = [catalog.S.item_jaccard(ratings, lsh=lsh).collect() for lsh in (True, False)]
+    scored = catalog.S.scored_items(ratings)
+    assert [sorted(catalog.S.item_jaccard(ratings, lsh=lsh, scored=scored).collect()) for lsh in (True, False)] == [sorted(rows) for rows in want]
+    made, plain = [], catalog.S.jaccard_pairs
+    monkeypatch.setattr(catalog.S, "jaccard_pairs", lambda *a: made.append(a) or plain(*a))
+    monkeypatch.setattr(catalog, "_ratings", lambda *_: ratings)
+    found = catalog.lsh_confirmed_recall(spark, "").first()
+    assert len(made) == 1 and (found["n_found"], found["n_exact"]) == tuple(map(len, want))
