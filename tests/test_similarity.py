@@ -299,3 +299,14 @@ def test_models_of_the_same_pairs_make_them_once(spark, rated, monkeypatch):
     monkeypatch.setattr(catalog, "_ratings", lambda *_: ratings)
     found = catalog.lsh_confirmed_recall(spark, "").first()
     assert len(made) == 1 and (found["n_found"], found["n_exact"]) == tuple(map(len, want))
+
+
+def test_only_members_left_out_are_looked_up(spark, rated, monkeypatch):
+    """Whole baskets are not fetched for pairs that may pass; the overlaps are those of the whole baskets."""
+    monkeypatch.setattr(S, "shared_by", lambda *a: pytest.fail("whole baskets are fetched"))
+    rows = [(u, i, 1.0) for i in range(25) for u in range(40) if (u * 7 + i * i) % 40 < 14 + i % 3]
+    baskets = {i: {u for u, j, _ in rows if j == i} for i in range(25)}
+    want = {(a, b): len(baskets[a] & baskets[b]) for a, b in combinations(range(25), 2)}
+    want = {p: n for p, n in want.items() if n / (len(baskets[p[0]] | baskets[p[1]])) > 0.3}
+    found = S.jaccard_pairs(rated(rows).select("item_id", "user_id"), "item_id", "user_id", 0.3)
+    assert {(r["a"], r["b"]): r["overlap"] for r in found.collect()} == want and want
